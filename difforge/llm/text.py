@@ -86,7 +86,7 @@ def shingle_runs(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.n
     short = np.flatnonzero((count > 0) & (count < k))
     for d in short:
         own = words[first[d] : first[d + 1]]
-        rolled[first[d]] = (own * _PLACES[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)) * _PLACES[-1]
+        rolled[first[d]] = np.append(own * _PLACES[: len(own)], _PLACES[-len(own) :][:1]).sum(dtype=np.uint64)
     keep = np.repeat(first[:-1], n) + np.arange(at[-1]) - np.repeat(at[:-1], n)
     return mix64(rolled[keep]), at
 
