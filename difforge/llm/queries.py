@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
 from .exact_dedup import exact_groups
+from .fixity import audit, records
 from .language import identify
 from .mixing import balance
 from .ngram_join import near_groups
 from .packing import pack
 from .quality import score_quality
 from .sharding import assign_shards
+from .substring import repeated_passages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +35,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
@@ -39,6 +51,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, against a replica with faults at fixed places: some bodies changed, some records lost."""
+    pages = _read(spark, sf_dir, "pages")
+    mark = F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2)
+    replica = pages.where(F.coalesce(mark != "ff", F.lit(True))).withColumn("html", F.when(mark == "00", F.concat("html", F.lit("~"))).otherwise(F.col("html")))
+    return audit(records(pages), records(replica))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -48,7 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_ngram_jaccard_join, op6_mixing, op7_language_id, op9_quality, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_ngram_jaccard_join, op4_collision_ann, op5_substring_dedup, op6_mixing, op7_language_id, op8_merkle_fixity, op9_quality, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -58,4 +78,12 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY t)""",
+        "op8_merkle_fixity": r"""
+WITH r AS (SELECT page_id, page_id // 1000 AS file, page_id % 1000 AS slot,
+    substr(sha256(CAST(page_id AS VARCHAR)), 1, 2) AS mark,
+    E'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:' || page_id || E'>\r\nWARC-Target-URI: ' || coalesce(url, '')
+    || E'\r\nContent-Length: ' || strlen(coalesce(html, '')) || E'\r\n\r\n' || coalesce(html, '') || E'\r\n\r\n' AS rec FROM pages)
+SELECT page_id, file, slot, CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+       strlen(rec) AS length, sha256(rec) AS sha256,
+       CASE mark WHEN 'ff' THEN 'missing' WHEN '00' THEN 'changed' ELSE 'ok' END AS status FROM r""",
     }
