@@ -1,15 +1,553 @@
-"""The registry of the engine's own queries."""
+"""The registry of the engine's own queries: each applies one operator to whole tables; SQL twins are in ``sql.py``."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..functions import models
+from ..operators import chunking, diff, findings, indexing, intervals, retrieval, reviews, routing
+from ..sources import readers
+from ..sources.readers import table
+from ..streaming import streams
+from . import proxies as P
+from .sql import SQL
+
+_found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _found[fn.__name__] = fn
+    return fn
+
+
+# --- retrieval ---------------------------------------------------------------
+
+
+@query
+def context_topk(spark, sf):
+    """JOIN-10, FLT-9/10/11, WIN-7: five nearest vectors of the same label, itself left out, cosine at least 0.25."""
+    e = table(spark, sf, "embeddings")
+    name = F.col("vec_id").cast("string")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("repo_id"), F.col("embedding").alias("vector"), F.array(name).alias("exclude"))
+    c = e.select(F.col("label").alias("repo_id"), F.col("vec_id").alias("chunk_id"), "embedding", name.alias("file_path"))
+    return retrieval.similar_chunks(q, c, 5, 0.25, "exclude").select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def past_findings_topk(spark, sf):
+    """JOIN-11: three most similar past findings, no threshold."""
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("repo_id"), F.col("embedding").alias("vector"))
+    f = e.select(F.col("label").alias("repo_id"), F.col("vec_id").alias("finding_id"), "embedding")
+    return retrieval.past_findings(q, f, 3).select("query_id", "finding_id", "score", "rank")
+
+
+@query
+def keyword_callers(spark, sf):
+    """JOIN-9, SRT-3, FLT-12: the first ten files of each repository that hold a keyword."""
+    d = P.documents(spark, sf).select("repo_id", F.col("doc_id").alias("chunk_id"), "file_path", F.lit(1).alias("start_line"), "content")
+    words = spark.createDataFrame([(w,) for w in ("the", "und", "les", "de")], "name string")
+    names = d.select("repo_id").distinct().crossJoin(F.broadcast(words)).select(F.concat_ws(":", "repo_id", "name").alias("query_id"), "repo_id", "name", F.array().cast("array<string>").alias("exclude"))
+    return retrieval.callers(names, d, 10, "[a-z]+").select("query_id", "chunk_id", "rank")
+
+
+@query
+def token_budget(spark, sf):
+    """WIN-4, AGG-11: documents of each source in order while their tokens fit 4000."""
+    d = P.documents(spark, sf).withColumn("tok", F.coalesce(C.tokens(F.col("content")), F.lit(0)))
+    return retrieval.within_budget(d, ["repo_id"], F.col("tok"), 4000, "doc_id").select("repo_id", "doc_id", "tok", "spent")
+
+
+@query
+def call_budget(spark, sf):
+    """WIN-5, FLT-16: at most 20 model calls for each source, in file order."""
+    d = P.documents(spark, sf)
+    hunks = (F.col("doc_id") % 5 + 1).cast("int")
+    f = d.select(F.col("repo_id").alias("review_id"), F.col("doc_id").alias("file_ord"), hunks.alias("hunks"), routing.granularity(F.col("file_path"), hunks).alias("granularity"))
+    return retrieval.call_budget(f).select("review_id", "file_ord", "unit", "call_no", "granularity")
+
+
+@query
+def file_cap(spark, sf):
+    """SRT-4: the first 15 files of each source."""
+    d = P.documents(spark, sf).select(F.col("repo_id").alias("diff_id"), F.col("doc_id").alias("file_ord"))
+    return retrieval.file_cap(d)
+
+
+@query
+def cache_split(spark, sf):
+    """JOIN-12, SRC-9: texts against a cache of one source's texts; misses are computed once for each distinct text."""
+    d = P.documents(spark, sf).select("doc_id", F.col("doc_id").alias("ord"), F.coalesce("content", F.lit("")).alias("text"), "repo_id")
+    cache = d.where("repo_id IN ('src0', 'src3')").select(C.short_hash(F.col("text")).alias("key"), F.col("doc_id").alias("value"), F.when(F.col("repo_id") == "src0", F.lit("2100-01-01")).otherwise("2000-01-01").cast("timestamp").alias("expires_at"))
+    rows = retrieval.cache_split(d, cache, now=F.lit("2024-06-01").cast("timestamp"))
+    return rows.select("doc_id", "key", "hit", "computes")
+
+
+@query
+def payload_chunks(spark, sf):
+    """PRJ-20: loosely typed payloads with defaults."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    p = e.select(F.col("event_id").alias("chunk_id"), F.col("event_type").alias("file_path"), F.lit(None).cast("string").alias("chunk_type"), F.lit("n").alias("name"), F.col("props").alias("content"), k.alias("start_line"), F.concat(k, F.lit("x")).alias("end_line"), F.lit(None).cast("string").alias("language"), F.col("value").cast("string").alias("score"))
+    return retrieval.payload_chunk(p)
+
+
+# --- chunking ----------------------------------------------------------------
+
+
+@query
+def line_windows(spark, sf):
+    """WIN-10, PRJ-5, PRJ-23: windows of five lines that overlap by one."""
+    return chunking.line_windows(P.documents(spark, sf), size=5, overlap=1).select("file_path", "name", "content", "start_line", "end_line", "language", "chunk_id")
+
+
+@query
+def file_header(spark, sf):
+    """WIN-12, FLT-13: the first 50 lines of each file that isn't blank."""
+    return chunking.header_chunks(P.documents(spark, sf)).select("file_path", "name", "content", "start_line", "end_line", "language", "chunk_id")
+
+
+@query
+def token_windows(spark, sf):
+    """WIN-9: windows of 512 tokens that overlap by 128."""
+    return chunking.token_windows(P.documents(spark, sf)).select("file_path", "name", F.sha2("content", 256).alias("content_sha"), "start_line", "end_line", "chunk_id")
+
+
+@query
+def chunk_dedup(spark, sf):
+    """SET-4, WIN-6, PRJ-26: header and window chunks of each file, the first of each id."""
+    return chunking.all_chunks(P.documents(spark, sf)).select("file_path", "chunk_type", "name", "start_line", "end_line", "chunk_id")
+
+
+@query
+def semantic_chunks(spark, sf):
+    """PRJ-24, WIN-11: a node table of nested halves of each file, as functions and classes."""
+    d = P.documents(spark, sf)
+    n = F.size(C.split_lines(F.coalesce("content", F.lit(""))))
+    node = lambda kind, name, lo, hi, i: F.struct(F.lit(kind).alias("node_type"), F.lit(name).alias("name"), lo.cast("int").alias("start_row"), hi.cast("int").alias("end_row"), F.lit(i).alias("node_ord"))
+    nodes = d.where(n > 0).select("file_path", F.inline(F.array(node("class_definition", "whole", F.lit(0), n - 1, 0), node("function_definition", None, F.floor((n - 1) / 2), n - 1, 1))))
+    return chunking.semantic_chunks(d, nodes).select("file_path", "chunk_type", "name", "content", "start_line", "end_line", "chunk_id")
+
+
+@query
+def point_ids(spark, sf):
+    """PRJ-21, PRJ-23: chunk and point ids."""
+    d = P.documents(spark, sf)
+    cid = C.chunk_id(F.col("file_path"), F.lit("f"), F.col("doc_id"))
+    return d.select("doc_id", cid.alias("chunk_id"), C.point_id(cid).alias("point_id"))
+
+
+@query
+def languages(spark, sf):
+    """PRJ-4, PRJ-5: language by suffix under both tables."""
+    return P.documents(spark, sf).select("doc_id", C.diff_language(F.col("file_path")).alias("diff_language"), C.chunk_language(F.col("file_path")).alias("chunk_language"))
+
+
+# --- routing -----------------------------------------------------------------
+
+
+@query
+def gatekeeper_route(spark, sf):
+    """FLT-1, FLT-2: the whole cascade, on authors, labels, drafts and file lists made from events."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    n = k % 60
+    path = lambda i: F.concat(F.lit("src/f"), i.cast("string"), F.when(k % 3 == 0, ".md").otherwise(".py"))
+    files = F.when(k % 11 != 0, F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), n), path)))
+    e = e.select(
+        "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 10 == 0, "[bot]").otherwise("")).alias("author"),
+        F.when(k % 7 == 0, F.array(F.lit("bug"), F.lit("skip-ai-review"))).otherwise(F.array(F.lit("bug"))).alias("labels"), ((F.col("event_type") == "error") & (k % 2 == 0)).alias("draft"), files.alias("changed_files"),
+    )
+    return routing.gatekeeper(e).select("event_id", "should_process", "reason", "queue")
+
+
+@query
+def event_routes(spark, sf):
+    """FLT-5: deliveries by event and action."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int") % 4
+    event = F.element_at(F.create_map(*(F.lit(x) for x in ("click", "pull_request", "view", "installation", "error", "installation_repositories", "purchase", "pull_request_review_comment", "signup", "push"))), F.col("event_type"))
+    action = F.element_at(F.array(*map(F.lit, ("opened", "created", "added", "removed"))), (k + 1).cast("int"))
+    return e.select("event_id", event.alias("event"), action.alias("action"), routing.event_route(event, action).alias("route"))
+
+
+@query
+def reviewable_paths(spark, sf):
+    """FLT-2, FLT-3: reviewable files by their path, and those that configured globs ignore."""
+    d = P.documents(spark, sf)
+    globs = F.array(F.lit("src1/*"), F.lit("*.[gG]O"), F.lit("src?/1*.py"))
+    return d.select("doc_id", "file_path", routing.reviewable(F.col("file_path")).alias("reviewable"), routing.ignored(F.col("file_path"), globs).alias("ignored"))
+
+
+@query
+def code_files(spark, sf):
+    """FLT-4: files that are indexed."""
+    d = P.documents(spark, sf)
+    return d.where(routing.indexable(F.col("file_path"), F.col("size"))).select("doc_id", "file_path", "size")
+
+
+@query
+def path_classes(spark, sf):
+    """FLT-14, FLT-15: test and security paths, on the URLs of pages."""
+    p = table(spark, sf, "pages")
+    return p.select("page_id", routing.is_test(F.col("url")).alias("is_test"), routing.security_critical(F.col("url")).alias("security"), C.basename(F.col("url")).alias("base"))
+
+
+# --- diffs -------------------------------------------------------------------
+
+
+@query
+def segment_running(spark, sf):
+    """WIN-1, WIN-2, WIN-3: segments of conversation turns that begin with a user's, with running positions."""
+    c = table(spark, sf, "conversations")
+    rows = diff.segment(c.select("conv_id", "turn", "role"), ["conv_id"], "turn", F.col("role") == "user", "seg")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id", "seg").orderBy("turn")
+    return rows.withColumn("pos", F.row_number().over(w))
+
+
+@query
+def diff_line_table(spark, sf):
+    """PRJ-1, WIN-1/2/3: typed lines of diffs made from documents."""
+    return diff.diff_lines(P.diffs(spark, sf)).select("diff_id", "hunk_ord", "content", "line_type", "old_lineno", "new_lineno", "diff_position")
+
+
+@query
+def diff_file_table(spark, sf):
+    """PRJ-3, PRJ-4, AGG-1, AGG-7: files of diffs with additions and deletions."""
+    return diff.diff_files(P.diffs(spark, sf)).select("diff_id", "filename", "old_filename", "status", "language", "is_binary", "additions", "deletions")
+
+
+@query
+def diff_hunk_table(spark, sf):
+    """PRJ-6: hunk headers."""
+    return diff.diff_hunks(P.diffs(spark, sf)).select("diff_id", "hunk_ord", "old_start", "old_count", "new_start", "new_count", "function_context")
+
+
+@query
+def line_positions(spark, sf):
+    """PRJ-2: position by new line."""
+    return diff.position_map(diff.diff_lines(P.diffs(spark, sf)))
+
+
+@query
+def hunk_rendering(spark, sf):
+    """PRJ-11, AGG-14: hunks as numbered text."""
+    return diff.render_hunks(diff.diff_lines(P.diffs(spark, sf))).select("diff_id", "hunk_ord", "rendered")
+
+
+@query
+def change_query_text(spark, sf):
+    """PRJ-17, SRT-6: added lines of the first hunk that has any."""
+    return diff.query_text(diff.diff_lines(P.diffs(spark, sf))).select("diff_id", "query_text")
+
+
+@query
+def line_context(spark, sf):
+    """PRJ-16: the text around each added line."""
+    return diff.context_around(diff.diff_lines(P.diffs(spark, sf))).where("line_type = 'added'").select("diff_id", "diff_position", F.sha2("context", 256).alias("context_sha"))
+
+
+@query
+def scope_lines(spark, sf):
+    """PRJ-15: file lines around a hunk."""
+    d = P.documents(spark, sf)
+    h = d.select(F.col("doc_id").alias("diff_id"), "file_path", F.lit(1).alias("hunk_ord"), (F.col("doc_id") % 9 + 1).cast("int").alias("new_start"), F.lit(3).alias("new_count"))
+    return diff.scope_context(h, d.where("content IS NOT NULL")).select("diff_id", "scope_context")
+
+
+# --- intervals ---------------------------------------------------------------
+
+
+@query
+def nearest_position(spark, sf):
+    """JOIN-1: errors at the nearest hour that has a view."""
+    e = P.hours(spark, sf)
+    pos = e.where("event_type = 'view'").groupBy("user_id", F.col("h").alias("new_lineno")).agg(F.max("event_id").alias("diff_position"))
+    probes = e.where("event_type = 'error'").select(F.col("event_id").alias("probe_id"), "user_id", F.col("h").alias("line"))
+    return intervals.nearest_position(probes, pos, ["user_id"]).select("probe_id", "line", "matched_line", "diff_position")
+
+
+def _ranges(spark, sf):
+    e = P.hours(spark, sf)
+    h = e.where("event_type = 'click'").select("event_id", "user_id", F.col("h").alias("lo"), (F.col("h") + 4).alias("hi"))
+    f = e.where("event_type = 'error'").select("user_id", F.col("h").alias("f_lo"), (F.col("h") + 2).alias("f_hi"))
+    return h, f
+
+
+@query
+def overlap_semi(spark, sf):
+    """JOIN-2: hunks that meet a finding within three lines."""
+    h, f = _ranges(spark, sf)
+    return intervals.overlapping(h, f, ["user_id"], ("lo", "hi"), ("f_lo", "f_hi"), "event_id", 3)
+
+
+@query
+def covered_anti(spark, sf):
+    """JOIN-4: hunks that meet none."""
+    h, f = _ranges(spark, sf)
+    return intervals.not_covered(h, f, ["user_id"], ("lo", "hi"), ("f_lo", "f_hi"), "event_id", 3)
+
+
+@query
+def innermost_scope(spark, sf):
+    """JOIN-14: the innermost purchase interval around each view."""
+    e = P.hours(spark, sf)
+    nodes = e.where("event_type = 'purchase'").groupBy("user_id", F.col("h").alias("start_line"), (F.col("h") + F.col("event_id") % 7).alias("end_line")).agg(F.max("event_id").alias("name"))
+    points = e.where("event_type = 'view'").select(F.col("event_id").alias("probe_id"), "user_id", F.col("h").alias("line"))
+    return intervals.innermost(points, nodes, ["user_id"]).select("probe_id", "line", "enclosing")
+
+
+@query
+def same_hunk(spark, sf):
+    """JOIN-13: whether both ends of an interval lie in one click interval."""
+    e = P.hours(spark, sf)
+    hunks = e.where("event_type = 'click'").select("user_id", F.col("h").alias("hunk_start"), (F.col("h") + 4).alias("hunk_end"))
+    rows = e.where("event_type = 'signup'").select(F.col("event_id").alias("probe_id"), "user_id", F.col("h").alias("line_start"), (F.col("h") + F.col("event_id") % 3).alias("line_end"))
+    return intervals.same_range(rows, hunks, ["user_id"]).select("probe_id", "same_hunk")
+
+
+# --- findings ----------------------------------------------------------------
+
+
+@query
+def dedup_findings(spark, sf):
+    """JOIN-3, AGG-6: the best of each group of overlapping findings, by seeds in input order."""
+    return findings.merge_overlapping(P.findings(spark, sf), ["file_path"]).select("file_path", "ord", "seed_ord", "rank", "confidence")
+
+
+@query
+def severity_counts(spark, sf):
+    """AGG-2: counts by severity for each file."""
+    return findings.severity_counts(P.findings(spark, sf), ["file_path"])
+
+
+@query
+def severity_gate(spark, sf):
+    """FLT-7, FLT-8: findings with a position and at least medium severity."""
+    rows = P.findings(spark, sf).withColumn("diff_position", (F.col("ord") % 4).cast("int"))
+    return findings.passing(rows, F.lit("medium")).select("ord", "severity", "diff_position")
+
+
+@query
+def cap_by_severity(spark, sf):
+    """SRT-1, SRT-2: the first 25 findings of each file, by severity, line and input order."""
+    return retrieval.top_k(P.findings(spark, sf), ["file_path"], 25, "rank", "line_start", "ord", out="pos").select("file_path", "ord", "pos")
+
+
+@query
+def source_union(spark, sf):
+    """SET-1: findings of four sources in their fixed order."""
+    f = P.findings(spark, sf).withColumn("review_id", F.col("file_path")).withColumn("local_ord", F.col("ord")).drop("ord")
+    of = lambda c: f.where(F.col("category") == c)
+    return findings.all_sources(style=of("view"), lint=of("error"), bug=of("purchase"), xfile=of("signup")).select("review_id", "source", "local_ord", "ord")
+
+
+@query
+def finding_comments(spark, sf):
+    """PRJ-13: findings as markdown."""
+    f = P.findings(spark, sf).select("ord", "severity", F.concat(F.lit("T"), F.col("ord").cast("string")).alias("title"), F.col("category").alias("body"), F.when(F.col("ord") % 3 == 0, F.lit("x = 1")).when(F.col("ord") % 3 == 1, "").alias("suggestion_code"))
+    return findings.comment_markdown(f).select("ord", "comment")
+
+
+@query
+def review_summaries(spark, sf):
+    """PRJ-14, AGG-2: one markdown summary for each file's findings."""
+    n = findings.severity_counts(P.findings(spark, sf), ["file_path"])
+    r = n.select("*", F.col("file_path").alias("review_id"), F.when(F.col("critical") > 5, F.lit("Busy.")).alias("pr_summary"), F.col("high").alias("files_reviewed"), F.col("low").alias("hunks_reviewed"), (F.col("medium") / 8.0).alias("cost_usd"), F.array(F.lit("lint"), F.lit("bugs")).alias("stages"))
+    return findings.summary_markdown(r).select("review_id", "markdown")
+
+
+@query
+def json_findings(spark, sf):
+    """UDF-3, PRJ-8, JOIN-1: model replies, fenced or not, as findings at their diff position."""
+    e = P.hours(spark, sf)
+    k = F.get_json_object("props", "$.k").cast("int")
+    item = F.concat(F.lit('{"line_start": '), F.col("h").cast("string"), F.lit(', "severity": "High", "title": "t'), k.cast("string"), F.lit('"}'))
+    text = F.when(k % 4 == 0, F.concat(F.lit("```json\n["), item, F.lit("]\n```"))).when(k % 4 == 1, F.concat(F.lit(" ["), item, F.lit(", 7]"))).when(k % 4 == 2, item).otherwise(F.lit("not json"))
+    replies = e.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("prompt_id"), F.col("user_id").alias("file_path"), text.alias("response"))
+    pos = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("file_path"), F.col("h").alias("new_lineno")).agg(F.max("event_id").alias("diff_position"))
+    return findings.from_model(replies, pos).select("prompt_id", "file_path", "line_start", "line_end", "diff_position", "severity", "category", "title", "confidence")
+
+
+@query
+def lint_ingest(spark, sf):
+    """SRC-10, FLT-6: linter reports as rows, ruff and eslint on changed lines only."""
+    e = P.hours(spark, sf)
+    h, u = F.col("h").cast("string"), F.col("user_id").cast("string")
+    ruff = F.concat(F.lit('[{"code":"'), F.when(F.col("event_id") % 2 == 0, "E501").otherwise("W1"), F.lit('","message":"m","location":{"row":'), h, F.lit("}}]"))
+    leak = F.concat(F.lit('[{"StartLine":'), h, F.lit(',"RuleID":"key","Description":"d"}]'))
+    reports = e.where("event_type IN ('error', 'signup')").select(u.alias("file_path"), F.when(F.col("event_type") == "error", "ruff").otherwise("gitleaks").alias("tool"), F.when(F.col("event_type") == "error", ruff).otherwise(leak).alias("report"))
+    changed = e.where("event_type = 'view'").select(u.alias("file_path"), F.col("h").alias("line"))
+    return findings.lint_findings(reports, changed)
+
+
+# --- index and bookkeeping ---------------------------------------------------
+
+
+@query
+def latest_wins(spark, sf):
+    """SNK-2, SNK-3, SNK-5: the last order of each customer."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
+    return indexing.latest(o, ["o_custkey"], "o_orderdate", "o_orderkey")
+
+
+@query
+def soft_delete(spark, sf):
+    """SNK-4: customers of some nations marked removed."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    gone = table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return indexing.soft_delete(c, gone, "c_nationkey", c_mktsegment="removed")
+
+
+@query
+def delete_by_filter(spark, sf):
+    """SNK-7: documents without those of two repositories and one language's files of a third."""
+    d = P.documents(spark, sf).select("repo_id", "file_path", "doc_id")
+    repos = spark.createDataFrame([("src1",), ("src2",)], "repo_id string")
+    files = d.where("repo_id = 'src3' AND file_path LIKE '%.py'").select("repo_id", "file_path")
+    return indexing.delete_where(indexing.delete_where(d, repos), files)
+
+
+@query
+def incremental_chunks(spark, sf):
+    """JOIN-5, SET-3, SRC-7: header chunks of files that are not in the table at this commit."""
+    c = chunking.header_chunks(P.documents(spark, sf), ["repo_id"]).withColumn("commit_sha", F.substring("chunk_id", 1, 1))
+    old = c.where("repo_id < 'src2'").withColumn("commit_sha", F.when(F.col("commit_sha") < "8", F.col("commit_sha")).otherwise("old"))
+    return indexing.new_chunks(c, old).select("repo_id", "file_path", "chunk_id", "commit_sha")
+
+
+@query
+def upsert_stats(spark, sf):
+    """AGG-13: cache hits, misses, tokens and cost of storing all documents."""
+    d = P.documents(spark, sf).where("content IS NOT NULL")
+    cached = d.where("repo_id = 'src0'").select(C.short_hash(F.col("content")).alias("key"))
+    return indexing.upsert_stats(d, cached)
+
+
+@query
+def review_rollup(spark, sf):
+    """JOIN-17, AGG-3: orders with the number of their lines and parts."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("review_id"), F.col("o_orderstatus").alias("status"))
+    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("review_id"), F.col("l_partkey").alias("file_path"))
+    return reviews.rollup(o, f)
+
+
+@query
+def cost_by_model(spark, sf):
+    """AGG-4: cost of conversation turns, priced by role."""
+    c = table(spark, sf, "conversations")
+    tok = F.coalesce(C.tokens(F.col("text")), F.lit(0))
+    rows = c.select(F.when(F.col("role") == "user", "deepseek-chat").when(F.col("role") == "assistant", "deepseek-reasoner").otherwise("other").alias("model"), tok.alias("input_tokens"), (tok * 2).alias("output_tokens"))
+    return reviews.cost_by_model(rows).withColumn("cost_usd", F.round("cost_usd", 8))
+
+
+def _batches(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("batch_no"), F.lit(50).cast("long").alias("total"), F.lit(2).cast("long").alias("files"), (F.col("o_orderkey") % 5).alias("chunks"), F.col("o_orderstatus").alias("status"))
+
+
+@query
+def index_progress(spark, sf):
+    """AGG-5, AGG-10, SRC-13: progress of each customer, not indexed where there are no orders."""
+    repos = table(spark, sf, "customer").select(F.col("c_custkey").alias("repo_id"))
+    return indexing.progress(_batches(spark, sf), repos)
+
+
+@query
+def running_totals(spark, sf):
+    """AGG-5: files and chunks so far."""
+    return indexing.running_totals(_batches(spark, sf)).select("repo_id", "batch_no", "files_so_far", "chunks_so_far")
+
+
+@query
+def batch_slices(spark, sf):
+    """SRT-7: documents of each source in batches of 20."""
+    return indexing.batches(P.documents(spark, sf), 20, ["repo_id"], "doc_id").select("repo_id", "doc_id", "batch_no")
+
+
+@query
+def rate_limit(spark, sf):
+    """WIN-8: events of each user within the last six hours, against a limit of two."""
+    e = table(spark, sf, "events")
+    return indexing.rate_limited(e, "user_id", "ts", 2, 6 * 3600).select("event_id", "in_window", "over_limit")
+
+
+@query
+def tree_listing(spark, sf):
+    """SRC-3, SRC-2: files of a listing joined to their content."""
+    d = P.documents(spark, sf)
+    entries = d.select("repo_id", "file_path", F.when(F.col("doc_id") % 3 == 0, "tree").otherwise("blob").alias("type"), F.lit("s").alias("sha"))
+    return readers.file_content(readers.tree_blobs(entries), d.withColumn("sha", F.lit("s"))).select("file_path", F.length("content").alias("chars"))
+
+
+@query
+def latest_open(spark, sf):
+    """SRC-11: the last open order of each customer."""
+    o = table(spark, sf, "orders")
+    prs = o.select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("pr_number"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), F.col("o_orderdate").alias("updated_at"))
+    return reviews.latest_open(prs)
+
+
+@query
+def default_heads(spark, sf):
+    """SRC-12: two lookups, from customer to nation to region."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("repo_id"), F.col("c_nationkey").alias("default_branch"))
+    b = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("branch"), F.concat_ws("/", "n_name", "r_name").alias("sha"))
+    return reviews.head_sha(c, c.select("repo_id", F.col("default_branch").alias("branch")).join(b, "branch")).select("repo_id", "sha")
+
+
+@query
+def kv_lookup(spark, sf):
+    """SRC-9, SNK-8: values that are still alive at an hour, by user."""
+    e = P.hours(spark, sf)
+    store = e.where("event_type <> 'view'").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"), F.struct("h", "event_id").alias("expires_at"))
+    keys = e.select(F.col("user_id").alias("key")).distinct()
+    return readers.kv_get(keys, store, F.struct(F.lit(700).alias("h"), F.lit(0).cast("long").alias("event_id")))
+
+
+# --- beyond SQL --------------------------------------------------------------
+
+
+@query
+def route_stream(spark, sf):
+    """§2.11, SRC-4, SNK-10: events replayed as a stream of deliveries, routed and logged batch by batch."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/difforge-stream-{uuid.uuid4().hex}"
+
+    def deliveries(e: DataFrame) -> DataFrame:
+        user = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("login"))
+        body = F.to_json(F.struct(F.lit("opened").alias("action"), F.struct(user.alias("user"), F.col("event_id").alias("number"), (F.col("event_type") == "error").alias("draft")).alias("pull_request")))
+        return streams.routed(e.select(F.col("event_id").cast("string").alias("delivery_id"), F.lit("pull_request").alias("event"), body.alias("body")))
+
+    out = streams.replay(spark, sf, "events", f"{root}/checkpoint", deliveries, f"{root}/out")
+    return out.select("delivery_id", "author", "route", "should_process", "queue")
+
+
+@query
+def embed_cached(spark, sf):
+    """UDF-1, JOIN-12: embeddings of all documents, each distinct text once."""
+    d = P.documents(spark, sf).select("doc_id", F.coalesce("content", F.lit("")).alias("text"))
+    empty = spark.createDataFrame([], "key string, value array<float>")
+    return models.embed_missing(d, empty, models.hashing_embedder(16)).select("doc_id", "key", "value")
+
+
+@query
+def suggestion_checks(spark, sf):
+    """UDF-6, FLT-22: suggestions cut from documents, checked as Python."""
+    d = P.documents(spark, sf)
+    code = F.when(F.col("doc_id") % 3 == 0, F.lit("    x = 1\n    return x")).when(F.col("doc_id") % 3 == 1, F.lit("y = (2")).otherwise(F.substring("content", 1, 80))
+    return models.validate_suggestions(d.select("doc_id", code.alias("suggestion_code"), F.lit("python").alias("language"), F.lit(1).alias("line_start"), (F.col("doc_id") % 9).cast("int").alias("line_end"))).select("doc_id", "is_valid", "error", "fixed_code")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in _found}
