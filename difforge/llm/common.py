@@ -6,6 +6,7 @@ Intermediate tables are Parquet files in the shared folder that the session name
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -59,6 +60,11 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def settle(self) -> None:
+        """Let Spark remove the shuffle files of finished queries: it does so when the driver's JVM collects their plans."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path = self.paths.pop(id(df), None)
