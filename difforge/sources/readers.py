@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def parse_config(content: str | None) -> ReviewConfig:
 
 def config_rows(files: DataFrame) -> DataFrame:
     """Settings of each repository (repo_id, content of its settings file or null), parsed on the executors."""
-    import pandas as pd
-
     fields = ["enabled", "custom_guidelines", "ignore_patterns", "severity_threshold", "style_review"]
 
     @F.pandas_udf("enabled boolean, custom_guidelines string, ignore_patterns array<string>, severity_threshold string, style_review boolean")
