@@ -3,7 +3,7 @@
 Targets are token shares by source. Among all document rates in [0, MOST], those nearest to 1 in relative entropy
 that meet every source's token target are rate = min(MOST, exp(lambda_source * x)), x being the document's size over
 its source's mean. The multipliers minimise the convex dual; each Newton step takes its gradient and curvature
-from one distributed pass over the histogram of (source, size). Rates become whole copies by error diffusion, largest
+from one distributed pass over the histogram of (source, size). Rates become whole copies by error diffusion, within about one of the rate, largest
 documents first, in chunks of about CHUNK rows that a hash of the id fixes, so reruns agree and no source, however
 large, is one task.
 
@@ -60,7 +60,7 @@ def _whole_copies(rows: pd.DataFrame) -> pd.DataFrame:
             copies[i] = round(rate)
             continue
         behind += rate * size
-        copies[i] = min(low + (rate > low), max(low, round(behind / size)))
+        copies[i] = min(low + 2, MOST, max(low - 1, 0, round(behind / size)))
         behind -= copies[i] * size
     rows["copies"] = copies
     return rows[["doc_id", "size", "source_size", "target", "rate", "copies"]]
