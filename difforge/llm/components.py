@@ -1,7 +1,7 @@
 """Connected components of a graph that no task and no driver holds whole.
 
-Edges are first contracted inside each partition by union-find, then alternating large-star and small-star steps
-point every node at the smallest node of its component. Minima are pre-aggregated and written before they are joined
+Edges are first contracted inside each partition by union-find. If at most ONE_TASK are left, one task finishes them;
+else alternating large-star and small-star steps point every node at the smallest node of its component. Minima are pre-aggregated and written before they are joined
 back, so that a hub's edges can be split among tasks.
 """
 
@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, over_batches
 
 
+#: So many edges, 1 MB of numbers, one task may hold.
+ONE_TASK = 1 << 16
+
+
 def _contract(batches):
     parent: dict[int, int] = {}
 
@@ -40,6 +44,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for every node of ``edges`` (two long columns); comp is the component's smallest node."""
     now = scratch.keep(over_batches(edges.toDF("u", "v").where("u <> v"), _contract, "u long, v long"))
     last = None
+    if now.count() <= ONE_TASK:
+        done = scratch.keep(over_batches(now.coalesce(1), _contract, "u long, v long"))
+        scratch.drop(now)
+        return _labels(done)
     while True:
         both = now.union(now.select("v", "u"))
         least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")))
@@ -54,4 +62,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if mark == last:
             break
         last = mark
+    return _labels(now)
+
+
+def _labels(now: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select("v", "v").distinct())
