@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import models
 from ..operators import chunking, diff, findings, indexing, intervals, retrieval, reviews, routing
+from ..session import shared_dir
 from ..sources import readers
 from ..sources.readers import table
 from ..streaming import streams
@@ -206,8 +207,6 @@ def segment_running(spark, sf):
     """WIN-1, WIN-2, WIN-3: segments of conversation turns that begin with a user's, with running positions."""
     c = table(spark, sf, "conversations")
     rows = diff.segment(c.select("conv_id", "turn", "role"), ["conv_id"], "turn", F.col("role") == "user", "seg")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id", "seg").orderBy("turn")
     return rows.withColumn("pos", F.row_number().over(w))
 
@@ -518,7 +517,7 @@ def kv_lookup(spark, sf):
 @query
 def route_stream(spark, sf):
     """§2.11, SRC-4, SNK-10: events replayed as a stream of deliveries, routed and logged batch by batch."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/difforge-stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/difforge-stream-{uuid.uuid4().hex}"
 
     def deliveries(e: DataFrame) -> DataFrame:
         user = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("login"))
