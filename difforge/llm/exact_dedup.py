@@ -116,10 +116,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     groups = exact_groups(docs, scratch)
     gone = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("times"))
     gone = scratch.keep(gone.where("NOT any_kept OR times > 1"))
+    repeated = gone.where("any_kept").count()
+    scratch.settle()
     sha = F.sha2(normalised(F.col("text")), 256)
     key = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "any_kept")
     once = docs.join(gone.select("_id", "_sha"), key, "left_anti")
+    if not repeated:
+        return once
     again = docs.join(gone.where("any_kept").select("_id", "_sha"), key, "inner")
     again = again.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
     return once.unionByName(again)

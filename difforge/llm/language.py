@@ -64,14 +64,15 @@ def _slots(gram: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """``slots`` has a bit for each of ``langs``; ``false`` are the filters' false-positive rates."""
+    """``slots`` has a bit for each of ``langs``; ``false`` are the filters' false-positive rates; ``usual`` is the answer without hits."""
 
     langs: list[str]
     slots: np.ndarray
     false: np.ndarray
+    usual: str | None = None
 
     @classmethod
-    def build(cls, by_lang: dict[str, np.ndarray]) -> Filters:
+    def build(cls, by_lang: dict[str, np.ndarray], usual: str | None = None) -> Filters:
         langs = sorted(by_lang)
         kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(langs))
         slots = np.zeros(SLOTS, kind)
@@ -79,7 +80,7 @@ class Filters:
             for at in _slots(by_lang[lang].astype(np.uint32)):
                 slots[at] |= kind(1 << k)
         fill = np.array([((slots >> kind(k)) & kind(1)).mean() for k in range(len(langs))])
-        return cls(langs, slots, fill**2)
+        return cls(langs, slots, fill**2, usual)
 
     def hits(self, column: pa.Array) -> np.ndarray:
         """Corrected share of each text's n-grams that each language contains."""
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Filters:
     # Bounded: at most 1 / FLOOR n-grams of each of at most MOST_LANGS languages.
     got = counts.withColumn("share", share).where(F.col("share") >= FLOOR).select("lang", "gram", "share").toPandas()
     got = got[got["share"] >= RIVAL * got.groupby("gram")["share"].transform("max")]
-    return Filters.build({lang: got["gram"][got["lang"] == lang].to_numpy() for lang in count})
+    return Filters.build({lang: got["gram"][got["lang"] == lang].to_numpy() for lang in count}, max(count, key=lambda k: (count[k], k)))
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -140,7 +141,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
                 hits = f.hits(b.column(1))
                 best = hits.argmax(axis=1)
                 top = hits[np.arange(len(hits)), best]
-                pred = np.where(lettered, np.array(f.langs, object)[best], "und")
+                pred = np.where(lettered, np.where(top > 0, np.array(f.langs, object)[best], f.usual or f.langs[0]), "und")
                 score = np.where(lettered, top / np.maximum(hits.sum(axis=1), 1e-12), 0.0)
             yield pa.record_batch({"doc_id": b.column(0), "lang_pred": pa.array(pred, pa.string()), "score": np.clip(score, 0, 1)})
 
