@@ -7,6 +7,7 @@ Intermediate tables are Parquet files in the shared folder that the session name
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -42,9 +43,11 @@ class Scratch:
         return out
 
     def settle(self) -> None:
-        """Let Spark remove the shuffle files of finished queries: it does so when the driver's JVM collects their plans."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let Spark remove the shuffle files of finished queries: it does so when the driver's JVM collects their plans, in two rounds."""
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
