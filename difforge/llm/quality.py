@@ -1,7 +1,7 @@
 """Quality classifier on supervised subword embeddings.
 
-Words and byte n-grams (characters of UTF-8 text) are hashed to learned vectors, averaged over the whole document,
-and a softmax over the average decides. Training is minibatch gradient descent in numpy on the driver, over a
+Words and byte n-grams (characters of UTF-8 text) are hashed to learned vectors; pairs of words have one of two, for equal
+and for different words. They are averaged over the whole document, and a softmax over the average decides. Training is minibatch gradient descent in numpy on the driver, over a
 sample of at most PER_CLASS documents of each label: the ones whose id hashes lowest. As the output is linear in
 the average, scoring needs one number for each bucket, and every executor gets that table of BUCKETS floats.
 
@@ -35,7 +35,13 @@ def _features(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray,
     """For each kind of feature: its buckets in text order, and where each document's begin (one more entry)."""
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
     starts, first = word_spans(data, offs)
-    yield (word_hashes(data, starts, fold=False) >> shift).astype(np.int32), first
+    words = word_hashes(data, starts, fold=False)
+    yield (words >> shift).astype(np.int32), first
+    # Pairs of words count by whether both are the same.
+    later = np.ones(len(words), bool)
+    later[first[:-1][first[:-1] < first[1:]]] = False
+    same = np.concatenate([[False], words[1:] == words[:-1]])[: len(words)]
+    yield np.where(same, BUCKETS, BUCKETS + 1).astype(np.int32)[later], np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - 1, 0))])
     for n in GRAMS:
         if len(data) < n:
             yield np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
@@ -100,9 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 def train(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
     """Minibatch gradient descent on (buckets, counts) of each document."""
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS + 2, np.float32), 0.0)
     rng = np.random.default_rng(9)
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (BUCKETS + 2, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     each = np.array([len(y) / (2 * max(1, (y == v).sum())) for v in (0, 1)], np.float32)
     epoch = -(-len(y) // BATCH)
@@ -112,7 +118,7 @@ def train(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             rows = order[at : at + BATCH]
-            x = np.zeros((len(rows), BUCKETS), np.float32)
+            x = np.zeros((len(rows), BUCKETS + 2), np.float32)
             for k, i in enumerate(rows):
                 bucket, n = docs_x[i]
                 if len(bucket):
