@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from difforge.llm.common import Scratch, fold_crc
+from difforge.llm.common import Scratch, fold_crc, split_by_ids
 from difforge.llm.exact_dedup import keep_first
 from difforge.llm.mixing import balance
 from difforge.llm.ngram_join import keep_one
@@ -19,7 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = score(docs, fit(docs, labels.where(fold_crc(F.col("doc_id"), 3) != 1)))
     rejected = scored.where("score < 0.5").select(F.col("doc_id").alias("_id")).distinct()
     rejected = Scratch(spark, "pipeline-quality").keep(rejected)
-    return docs.join(rejected, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    rest, some = split_by_ids(docs, rejected)
+    return rest.unionByName(some.join(rejected, F.col("doc_id").cast("long") == F.col("_id"), "left_anti"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
     copies = balance(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    copies = Scratch(spark, "pipeline-mix").keep(copies)
-    rows = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    # Most documents are taken once and pass as they are.
+    copies = Scratch(spark, "pipeline-mix").keep(copies.where("_copies <> 1"))
+    rest, some = split_by_ids(docs, copies.select("_id"))
+    rows = some.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
     copy = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
-    return rows.where("_copies > 0").select(*docs.columns, copy).drop("_copy")
+    return rest.unionByName(rows.where("_copies > 0").select(*docs.columns, copy).drop("_copy"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

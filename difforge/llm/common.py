@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -122,6 +123,21 @@ def bloom(ids: DataFrame, column: str, spark: SparkSession, bits_per_id: int = 1
     return table
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id is not among ``ids``, rows whose doc_id may be), told apart by a bit table of bounded size.
+
+    Only the latter have to be joined, so most texts aren't shuffled. ``ids`` has one long column, ``_id``.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(bloom(ids.where("_id IS NOT NULL"), "_id", docs.sparkSession))
+
+    @F.pandas_udf("boolean")
+    def may_be(found: pd.Series) -> pd.Series:
+        return pd.Series(bloom_has(table.value, found.to_numpy(np.int64)))
+
+    hit = F.col("doc_id").isNull() | may_be(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")))
+    return docs.where(~hit), docs.where(hit)
+
+
 def bloom_bits(ids: np.ndarray, size: int) -> list[np.ndarray]:
     h = mix64(ids.astype(np.int64).view(np.uint64))
     mask = np.uint64(size - 1)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, over_batches
+from .common import Scratch, over_batches, split_by_ids
 
 LEAD = 64
 _OUT = "doc_id long, text_sha256 string, first_id long, run long, leads boolean, edge boolean"
@@ -121,9 +121,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     sha = F.sha2(normalised(F.col("text")), 256)
     key = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "any_kept")
-    once = docs.join(gone.select("_id", "_sha"), key, "left_anti")
+    rest, some = split_by_ids(docs, gone.select("_id"))
+    once = rest.unionByName(some.join(gone.select("_id", "_sha"), key, "left_anti"))
     if not repeated:
         return once
-    again = docs.join(gone.where("any_kept").select("_id", "_sha"), key, "inner")
+    again = some.join(gone.where("any_kept").select("_id", "_sha"), key, "inner")
     again = again.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
     return once.unionByName(again)
