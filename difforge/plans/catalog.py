@@ -538,10 +538,9 @@ def embed_cached(spark, sf):
 
 @query
 def suggestion_checks(spark, sf):
-    """UDF-6, FLT-22: suggestions cut from documents, checked as Python."""
+    """UDF-6, FLT-22: the whole content of each document, checked as Python."""
     d = P.documents(spark, sf)
-    code = F.when(F.col("doc_id") % 3 == 0, F.lit("    x = 1\n    return x")).when(F.col("doc_id") % 3 == 1, F.lit("y = (2")).otherwise(F.substring("content", 1, 80))
-    return models.validate_suggestions(d.select("doc_id", code.alias("suggestion_code"), F.lit("python").alias("language"), F.lit(1).alias("line_start"), (F.col("doc_id") % 9).cast("int").alias("line_end"))).select("doc_id", "is_valid", "error", "fixed_code")
+    return models.validate_suggestions(d.select("doc_id", F.col("content").alias("suggestion_code"), F.lit("python").alias("language"), F.lit(1).alias("line_start"), (F.col("doc_id") % 9).cast("int").alias("line_end"))).select("doc_id", "is_valid", "error", "fixed_code")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
