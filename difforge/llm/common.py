@@ -6,6 +6,7 @@ Intermediate tables are Parquet files in the shared folder that the session name
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import time
 import uuid
@@ -22,25 +23,38 @@ from ..session import shared_dir
 #: A maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Texts that a Python worker gets at once.
+BATCH_ROWS = 2000
+
 
 class Scratch:
     """Tables written once by an operator and read by its later steps.
 
-    ``keep`` writes and rereads a frame; ``drop`` removes tables that no later step reads. Tables that the
-    returned frame still reads stay until the session's owner clears the folder.
+    ``keep`` writes and rereads a frame; ``drop`` removes tables that no later step reads; ``finish`` writes the result and
+    removes all others. What is left of a result goes when the application ends. Python workers get BATCH_ROWS texts at
+    once while a table is written, so that neither they nor the JVM hold large Arrow buffers.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/difforge-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def _path(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
+        if self.count == 0:
+            fs, where = self._path(self.root)
+            fs.mkdirs(where)
+            fs.deleteOnExit(where)
         self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables.append((out, path))
         return out
 
     def settle(self) -> None:
@@ -51,11 +65,40 @@ class Scratch:
             time.sleep(0.3)
 
     def drop(self, *tables: DataFrame) -> None:
-        for df in tables:
-            path = self.paths.pop(id(df), None)
-            if path:
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        for df, path in self.tables:
+            if any(df is t for t in tables):
+                fs, where = self._path(path)
+                fs.delete(where, True)
+        self.tables = [t for t in self.tables if not any(t[0] is x for x in tables)]
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that is all that stays of this operator's."""
+        out = self.keep(df)
+        self.drop(*(t for t, _ in self.tables if t is not out))
+        return out
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """At most BATCH_ROWS rows go to a Python worker at once, unless the session asks for fewer."""
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(was)) if int(was) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` doesn't use, in any case."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 def number_rows(scratch: Scratch, df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
