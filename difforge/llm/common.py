@@ -101,6 +101,12 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sent_if_small(scratch: Scratch, df: DataFrame, most: int = 1 << 18) -> DataFrame:
+    """``df`` as a table, to be broadcast if it has at most ``most`` rows, which has to be few bytes each."""
+    df = scratch.keep(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def number_rows(scratch: Scratch, df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
     """Add ``out``: gapless positions from 0 in each ``group``, by ``order``; no task holds a whole group.
 
@@ -113,9 +119,10 @@ def number_rows(scratch: Scratch, df: DataFrame, group: str, order: list[str], o
     runs = dealt.groupBy(group, "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_len"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_len").over(before), F.lit(0))).drop("_len")
+    # A partition holds one contiguous range, so there are at most partitions + groups runs.
+    runs = sent_if_small(scratch, runs)
     same = dealt[group].eqNullSafe(runs[group]) & (dealt["_part"] == runs["_part"])
-    # Bounded: a partition holds one contiguous range, so there are at most partitions + groups runs.
-    joined = dealt.join(F.broadcast(runs), same).drop(runs[group], runs["_part"])
+    joined = dealt.join(runs, same).drop(runs[group], runs["_part"])
     return joined.withColumn(out, F.col("_at") - F.col("_from") + F.col("_before")).drop("_at", "_part", "_from", "_before")
 
 
@@ -169,9 +176,10 @@ def bloom(ids: DataFrame, column: str, spark: SparkSession, bits_per_id: int = 1
 def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose doc_id is not among ``ids``, rows whose doc_id may be), told apart by a bit table of bounded size.
 
-    Only the latter have to be joined, so most texts aren't shuffled. ``ids`` has one long column, ``_id``.
+    Only the latter have to be joined, so most texts aren't shuffled. ``ids`` has one long column.
     """
-    table = docs.sparkSession.sparkContext.broadcast(bloom(ids.where("_id IS NOT NULL"), "_id", docs.sparkSession))
+    (name,) = ids.columns
+    table = docs.sparkSession.sparkContext.broadcast(bloom(ids.where(F.col(name).isNotNull()), name, docs.sparkSession))
 
     @F.pandas_udf("boolean")
     def may_be(found: pd.Series) -> pd.Series:

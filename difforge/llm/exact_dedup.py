@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, over_batches, split_by_ids
+from .common import Scratch, free_names, over_batches, sent_if_small, split_by_ids
 
 LEAD = 64
 _OUT = "doc_id long, text_sha256 string, first_id long, run long, leads boolean, edge boolean"
@@ -97,9 +97,9 @@ def exact_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     dealt = keyed.repartitionByRange("lead", "h", F.asc_nulls_last("doc_id"))
     dealt = dealt.sortWithinPartitions("lead", "h", "t", F.asc_nulls_last("doc_id"))
     rows = scratch.keep(over_batches(dealt.select("doc_id", "t"), _mark_runs, _OUT))
-    # At most two runs of a partition are edges: a bounded table, merged and sent to all.
+    # At most two runs of a partition are edges.
     merged = rows.where("edge AND leads").groupBy("text_sha256").agg(F.min("first_id").alias("all_first"), F.sum("run").alias("all_rows"))
-    out = rows.join(F.broadcast(merged), "text_sha256", "left")
+    out = rows.join(sent_if_small(scratch, merged), "text_sha256", "left")
     keep_id = F.coalesce("all_first", "first_id")
     return out.select(
         "doc_id",
@@ -111,20 +111,19 @@ def exact_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; of rows that repeat id and text, any one."""
     scratch = Scratch(docs.sparkSession, "exact-keep")
     groups = exact_groups(docs, scratch)
     gone = groups.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("times"))
-    gone = scratch.keep(gone.where("NOT any_kept OR times > 1"))
-    repeated = gone.where("any_kept").count()
+    i, h, k = free_names(docs, "_id", "_sha", "_kept")
+    gone = gone.where("NOT any_kept OR times > 1").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(h), F.col("any_kept").alias(k))
+    gone = scratch.finish(gone)
+    repeated = gone.where(F.col(k)).count()
     scratch.settle()
-    sha = F.sha2(normalised(F.col("text")), 256)
-    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "any_kept")
-    rest, some = split_by_ids(docs, gone.select("_id"))
-    once = rest.unionByName(some.join(gone.select("_id", "_sha"), key, "left_anti"))
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.sha2(normalised(F.col("text")), 256) == F.col(h))
+    rest, some = split_by_ids(docs, gone.select(i))
+    once = rest.unionByName(some.join(gone.select(i, h), key, "left_anti"))
     if not repeated:
         return once
-    again = some.join(gone.where("any_kept").select("_id", "_sha"), key, "inner")
-    again = again.dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
-    return once.unionByName(again)
+    again = some.join(gone.where(F.col(k)).select(i, h), key, "inner")
+    return once.unionByName(again.dropDuplicates([i, h]).drop(i, h))

@@ -63,11 +63,11 @@ def _whole_copies(rows: pd.DataFrame) -> pd.DataFrame:
         copies[i] = min(low + 2, MOST, max(low - 1, 0, round(behind / size)))
         behind -= copies[i] * size
     rows["copies"] = copies
-    return rows[["doc_id", "size", "source_size", "target", "rate", "copies"]]
+    return rows[["doc_id", "source", "size", "source_size", "target", "rate", "copies"]]
 
 
 def balance(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken for each row of ``docs``."""
+    """doc_id, source, size, source_size, target, rate, copies, taken for each row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     base = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
@@ -109,5 +109,5 @@ def balance(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     lam = {s: round(v, 9) for s, v in lam.items()}
     rated = with_rate(base, list(size)).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
     rated = rated.select("source", "chunk", "doc_id", "size", "source_size", "target", "rate")
-    out = rated.groupBy("source", "chunk").applyInPandas(_whole_copies, "doc_id long, size long, source_size long, target double, rate double, copies long")
+    out = rated.groupBy("source", "chunk").applyInPandas(_whole_copies, "doc_id long, source string, size long, source_size long, target double, rate double, copies long")
     return out.withColumn("taken", F.col("copies") * F.col("size"))

@@ -13,11 +13,11 @@ rows of their own; an empty table gives an empty result; columns other than doc_
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, number_rows, word_count
+from .common import Scratch, free_names, number_rows, word_count
 
 OVERHEAD = 16
 FINE = 256
@@ -101,6 +101,18 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the documents as one folder for each shard, in slot order within each file."""
-    rows = docs.join(assigned.select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the documents as one folder for each shard, in slot order within each file; a column ``shard`` of theirs gives way.
+
+    Rows are matched by id, size and text hash; rows that agree in all of these are told apart by their number.
+    """
+    docs = docs.drop("shard")
+    i, z, c, n, slot = free_names(docs, "_id", "_bytes", "_crc", "_n", "_slot")
+    text = F.col("text")
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), z: size, c: F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(i, z, c).orderBy(F.lit(0))))
+    place = assigned.select(F.col("doc_id").alias("a"), F.col("size").alias("b"), F.col("text_crc32").alias("c"), "shard", F.col("slot").alias(slot))
+    place = place.withColumn("n", F.row_number().over(Window.partitionBy("a", "b", "c").orderBy(slot)))
+    rows = rows.join(place, rows[i].eqNullSafe(place["a"]) & (rows[z] == place["b"]) & (rows[c] == place["c"]) & (rows[n] == place["n"]))
+    rows = rows.select(*docs.columns, "shard", slot)
+    rows.repartitionByRange("shard", slot).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").parquet(path)

@@ -1,14 +1,15 @@
 """Nulls in every column, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from difforge.llm import ann, exact_dedup, fixity, language, mixing, ngram_join, packing, quality, sharding, substring
+from difforge.llm import ann, exact_dedup, fixity, language, mixing, ngram_join, packing, pipeline, quality, sharding, substring
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, cls string, token string, block long, rate double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, cls string, token string, block long, rate double, _id long, _sha string, _copies string, _Kept long, _copy int"
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(20000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 TEXTS = [
@@ -31,7 +32,7 @@ TEXTS = [
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 7, "clash", "clash", "clash", 3, 0.5) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 7, "clash", "clash", "clash", 3, 0.5, 1, "clash", "clash", 5, 6) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +64,37 @@ def test_exact_dedup(spark, docs, none):
     assert rows(exact_dedup.exact_groups(none)) == [] and rows(exact_dedup.keep_first(none)) == []
 
 
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    """Every stage on all cases at once, and on an empty table; columns that clash with helper names come through."""
+    labels = [(1, 1, 0), (2, 1, 0), (6, 0, None), (8, None, 0), (8, 0, 0), (999, 1, 1), (None, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        assert {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}, name
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+    assert pipeline.packing(spark, docs, str(tmp_path)).count() == len(TEXTS)
+    assert pipeline.packing(spark, none, str(tmp_path)).count() == 0
+    mixed = pipeline.mix(spark, docs, str(tmp_path)).groupBy("doc_id").count().collect()
+    want = mixing.balance(docs).groupBy("doc_id").agg(F.sum("copies").alias("count")).where("count > 0").collect()
+    assert {tuple(r) for r in mixed} == {tuple(r) for r in want}
+
+
+def test_one_id_with_a_good_and_a_bad_text(spark, tmp_path):
+    good, bad = (" ".join(random.Random(s).choices(w, k=40)) for s, w in ((1, ["tree", "river", "house", "walks"]), (2, ["zzq", "xkv", "qqj"])))
+    rows = [(i, good) for i in range(20)] + [(100 + i, bad) for i in range(20)] + [(7, bad), (None, bad), (None, good)]
+    spark.createDataFrame([(i, int(i < 50)) for i, _ in rows if i is not None and i != 7], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert {r.text for r in got} == {good} and len(got) == 21
+
+
+def test_written_shards_hold_each_row_once(spark, docs, tmp_path):
+    sharding.write_shards(docs, sharding.assign_shards(docs, 3), f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    some = ["doc_id", "text", "lang", "source"]
+    assert sorted(map(str, back.select(some).collect())) == sorted(map(str, docs.select(some).collect()))
+
+
 def test_sharding(spark, docs, none):
     got = rows(sharding.assign_shards(docs, 3))
     assert len(got) == len(TEXTS)
@@ -91,7 +123,7 @@ def test_packing(spark, docs, none):
 
 def test_ngram_join(spark, docs, none):
     got = {r["doc_id"]: r for r in rows(ngram_join.near_groups(docs))}
-    assert None not in got and len(got) == 13
+    assert len(got) == 14 and got[None]["n_shingles"] == 1 and got[None]["component_id"] is None
     assert got[2]["component_id"] == 1 and got[12]["component_id"] == 1 and got[7]["component_id"] == 6
     assert [got[i]["n_shingles"] for i in (3, 4, 5, 10, 1)] == [0, 0, 0, 1, 5]
     assert all(got[i]["component_id"] == i for i in (3, 4, 5, 8, 9, 10))

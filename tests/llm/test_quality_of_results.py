@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from difforge.llm import pipeline as corpus_pipeline
 from difforge.llm import ann, common, exact_dedup, fixity, language, mixing, ngram_join, packing, quality, sharding, substring
 
 SF = "/root/testdata/sf0.001"
