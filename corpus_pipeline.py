@@ -1,65 +1,5 @@
-"""A corpus pipeline: each stage is one training-data operator applied to what the one before kept."""
+"""The corpus pipeline by the names that its callers know; the stages are in ``difforge.llm.pipeline``."""
 
-from __future__ import annotations
+from difforge.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from difforge.llm.common import Scratch, fold_crc, split_by_ids
-from difforge.llm.exact_dedup import keep_first
-from difforge.llm.mixing import balance
-from difforge.llm.ngram_join import keep_one
-from difforge.llm.packing import pack
-from difforge.llm.quality import fit, score
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; the held-out labels teach nothing here either."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score(docs, fit(docs, labels.where(fold_crc(F.col("doc_id"), 3) != 1)))
-    rejected = scored.where("score < 0.5").select(F.col("doc_id").alias("_id")).distinct()
-    rejected = Scratch(spark, "pipeline-quality").keep(rejected)
-    rest, some = split_by_ids(docs, rejected)
-    return rest.unionByName(some.join(rejected, F.col("doc_id").cast("long") == F.col("_id"), "left_anti"))
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of each group of equal texts."""
-    return keep_first(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return keep_one(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
-    copies = balance(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    # Most documents are taken once and pass as they are.
-    copies = Scratch(spark, "pipeline-mix").keep(copies.where("_copies <> 1"))
-    rest, some = split_by_ids(docs, copies.select("_id"))
-    rows = some.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    copy = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
-    return rest.unionByName(rows.where("_copies > 0").select(*docs.columns, copy).drop("_copy"))
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's place in length buckets and token-budget batches."""
-    return pack(docs)
-
-
-STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("packing", packing)]
-
-#: A trained classifier and a sampled hash order are not SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again for the next."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = scratch.keep(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
