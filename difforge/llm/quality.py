@@ -95,7 +95,10 @@ def _counts(batches):
             for d in range(i, j):
                 own = np.concatenate([f[at[d - i] : at[d - i + 1]] for f, at in parts])
                 bucket, n = np.unique(own, return_counts=True)
-                yield pa.record_batch({"label": b.column(0)[d : d + 1], "id": b.column(2)[d : d + 1], "mark": b.column(3)[d : d + 1], "bucket": pa.array([bucket], pa.list_(pa.int32())), "n": pa.array([n.astype(np.int32)], pa.list_(pa.int32()))})
+                # One number each, as the driver gets them all; counts over 15 bits, of huge texts, are halved together until they fit.
+                n = np.maximum(n >> max(0, int(n.max(initial=1)).bit_length() - 15), 1)
+                packed = (bucket.astype(np.uint32) << np.uint32(15) | n.astype(np.uint32)).view(np.int32)
+                yield pa.record_batch({"label": b.column(0)[d : d + 1], "id": b.column(2)[d : d + 1], "mark": b.column(3)[d : d + 1], "counts": pa.array([packed], pa.list_(pa.int32()))})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model:
@@ -108,15 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     # Bounded: at most 2 * per_class ids.
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(sample), "_id")
     rows = rows.select("_label", "text", "_id", F.xxhash64("text").alias("_mark"))
-    got = over_batches(rows, _counts, "label int, id long, mark long, bucket array<int>, n array<int>").toArrow()
+    got = over_batches(rows, _counts, "label int, id long, mark long, counts array<int>").toArrow()
     y = got["label"].to_numpy()
     order = np.lexsort((got["mark"].to_numpy(), got["id"].to_numpy(), y)) if len(y) else np.zeros(0, np.int64)
-    docs_x = [(np.asarray(got["bucket"][int(i)].values), np.asarray(got["n"][int(i)].values, np.float32)) for i in order]
-    return train(docs_x, y[order])
+    model = train([got["counts"][int(i)].values.to_numpy() for i in order], y[order])
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
-def train(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
-    """Minibatch gradient descent on (buckets, counts) of each document."""
+def train(docs_x: list[np.ndarray], y: np.ndarray) -> Model:
+    """Minibatch gradient descent on the packed buckets and counts of each document."""
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS + 1, np.float32), 0.0)
     rng = np.random.default_rng(9)
@@ -132,9 +137,10 @@ def train(docs_x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> Model:
             rows = order[at : at + BATCH]
             x = np.zeros((len(rows), BUCKETS + 1), np.float32)
             for k, i in enumerate(rows):
-                bucket, n = docs_x[i]
-                if len(bucket):
-                    x[k, bucket] = n / n.sum()
+                packed = docs_x[i].view(np.uint32)
+                if len(packed):
+                    n = (packed & np.uint32(0x7FFF)).astype(np.float32)
+                    x[k, packed >> np.uint32(15)] = n / n.sum()
             used = np.flatnonzero(x.any(axis=0))
             x = x[:, used]
             hidden = x @ emb[used]

@@ -138,6 +138,10 @@ def test_ann(spark):
     got = rows(ann.nearest(df, F.col("vec_id") % 50 == 0, k=5))
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 8, -1.0)]
     assert rows(ann.nearest(df.where("false"), F.col("vec_id") % 50 == 0)) == []
+    # A repeated query row is two queries, each of which finds the other; other lengths have neighbours of their own.
+    v = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (50, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 2.0])]
+    got = rows(ann.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted([(0, 1, 0), (0, 2, 1), (0, 3, 2)] * 2 + [(50, 1, 4)])
 
 
 def test_substring(spark, docs, none):

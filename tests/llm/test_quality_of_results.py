@@ -77,6 +77,40 @@ def test_ann_recall_and_scores(spark):
     assert hit / 300 >= 0.95
 
 
+def test_ann_on_the_embeddings_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got, all_ = ann.nearest(df, F.col("vec_id") % 50 == 0).toPandas(), df.toPandas()
+    v = np.array(all_.embedding.tolist(), float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids, hit = all_.vec_id.to_numpy(), 0
+    for q in ids[ids % 50 == 0]:
+        score = v @ v[ids == q][0]
+        score[ids == q] = -2
+        hit += len(set(got[got.query_id == q].vec_id) & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    assert hit / (5 * (ids % 50 == 0).sum()) >= 0.9
+
+
+def test_ann_verifies_a_part_only():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(2048, 64))
+    ids = np.arange(2048)
+    found, verified = ann.search_block(ids, ids, v, ids[::50], v[::50], 5)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    hit = 0
+    for q in ids[::50]:
+        score = unit @ unit[q]
+        score[q] = -2
+        hit += len({i for r, i, _ in found if r == q} & set(np.argsort(-score)[:5].tolist()))
+    print("recall", hit / (5 * len(ids[::50])), "verified", verified / (len(ids) * len(ids[::50])))
+    assert hit / (5 * len(ids[::50])) >= 0.9 and verified / (len(ids) * len(ids[::50])) < 0.45
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one, two = (quality.score_quality(d, labels).toPandas().sort_values("doc_id").score.to_numpy() for d in (docs, docs.repartition(7)))
+    assert (one == two).all()
+
+
 def test_ann_ties_take_smaller_ids(spark):
     df = spark.createDataFrame([(i, [1.0, 0.5, 0.25]) for i in range(120)], "vec_id long, embedding array<double>")
     got = ann.nearest(df, F.col("vec_id") == 100).orderBy("rank").collect()
