@@ -17,9 +17,10 @@ def latest(log: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with ``rows`` put in by key; of equal keys among ``rows`` any one stays, so give unique ones."""
+    """``table`` with ``rows`` put in by key; of equal keys among ``rows`` the one with the largest values stays."""
     both = table.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
-    return latest(both, keys, "_new").drop("_new")
+    rest = [c for c in table.columns if c not in keys and not c.startswith("_")]
+    return latest(both, keys, "_new", *rest).drop("_new")
 
 
 def points(chunks: DataFrame) -> DataFrame:
@@ -110,3 +111,22 @@ def soft_delete(table: DataFrame, keys: DataFrame, key: str, **values) -> DataFr
 def table_rows(table: DataFrame, cond: Column, limit: int = 100) -> DataFrame:
     """A filtered scan of at most ``limit`` rows."""
     return table.where(cond).limit(limit)
+
+
+def installed(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Installations and their repositories after their events: installation_id, repo_id, repo_full_name, active.
+
+    events: seq, installation_id, route (installation_created, installation_deleted, repos_added, repos_removed), repos
+    (array of (id, full_name)). Creation and addition put repositories in, or back; removal and the end of an installation make
+    them inactive. ``known`` is the table before the events.
+    """
+    add = F.col("route").isin("installation_created", "repos_added")
+    named = events.where(add | (F.col("route") == "repos_removed")).select("seq", "installation_id", F.inline("repos"), add.alias("active"))
+    named = named.select("seq", "installation_id", F.col("id").alias("repo_id"), F.col("full_name").alias("repo_full_name"), "active")
+    if known is not None:
+        named = named.unionByName(known.select(F.lit(-1).cast("long").alias("seq"), "installation_id", "repo_id", "repo_full_name", "active"))
+    name = F.max_by("repo_full_name", F.struct(F.col("repo_full_name").isNotNull(), "seq"))
+    rows = named.groupBy("installation_id", "repo_id").agg(F.max("seq").alias("seq"), F.max_by("active", F.struct("seq", "active")).alias("active"), name.alias("repo_full_name"))
+    gone = events.where("route = 'installation_deleted'").groupBy("installation_id").agg(F.max("seq").alias("gone"))
+    rows = rows.join(gone, "installation_id", "left")
+    return rows.select("installation_id", "repo_id", "repo_full_name", (F.col("active") & (F.col("gone").isNull() | (F.col("gone") < F.col("seq")))).alias("active"))

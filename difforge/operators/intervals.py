@@ -53,9 +53,13 @@ def not_covered(left: DataFrame, right: DataFrame, keys: list[str], left_range:
 
 
 def same_range(ranges: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds same_hunk: whether both ends of (line_start, line_end) lie in one hunk (hunk_start, hunk_end). Needs a unique ``probe_id``."""
-    a = ranges.select("probe_id", *keys, "line_start", "line_end")
-    inside = a.join(outer, [*[a[k] == outer[k] for k in keys], a["line_start"] >= outer["hunk_start"], a["line_end"] <= outer["hunk_end"]], "left_semi")
+    """Adds same_hunk: whether both ends of (line_start, line_end) lie in one hunk (hunk_start, hunk_end). Needs a unique ``probe_id``.
+
+    A hunk that holds the range holds its first line, so the cell of that line is a key.
+    """
+    a = ranges.select("probe_id", *keys, "line_start", "line_end", F.floor(F.col("line_start") / CELL).alias("_cell"))
+    b = outer.select(*keys, "hunk_start", "hunk_end", _cells(F.col("hunk_start"), F.col("hunk_end")).alias("_cell"))
+    inside = a.join(b, [*[a[k] == b[k] for k in keys], a["_cell"] == b["_cell"], a["line_start"] >= b["hunk_start"], a["line_end"] <= b["hunk_end"]], "left_semi")
     return ranges.join(inside.select("probe_id", F.lit(True).alias("same_hunk")), "probe_id", "left").withColumn("same_hunk", F.coalesce("same_hunk", F.lit(False)))
 
 

@@ -19,16 +19,18 @@ def similar_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold:
     """Top ``k`` chunks of the query's own repository by cosine, at or over ``threshold``.
 
     queries: query_id, repo_id, vector (and ``exclude``, an array of file paths); chunks: repo_id, chunk_id, embedding,
-    file_path if ``exclude`` is given. Vectors are normalised once on either side; the filter precedes the ranking.
+    file_path if ``exclude`` is given. Threshold and rank are by the exact cosine; ``score`` shows six digits of it. Norms are
+    taken once for each vector; the filter precedes the ranking, and each task ranks before the shuffle.
     """
-    unit = lambda v: F.transform(F.col(v), lambda x: x.cast("double") / F.sqrt(C.dot(F.col(v), F.col(v))))
-    q = queries.select("query_id", "repo_id", unit("vector").alias("qv"), *([exclude] if exclude else []))
-    c = chunks.withColumn("cv", unit("embedding"))
+    norm = lambda v: F.sqrt(C.dot(F.col(v), F.col(v)))
+    q = queries.select("query_id", "repo_id", F.col("vector").alias("qv"), norm("vector").alias("qn"), *([exclude] if exclude else []))
+    c = chunks.withColumnRenamed("embedding", "cv").withColumn("cn", norm("cv"))
     hits = q.join(c, "repo_id")
     if exclude:
         hits = hits.where(~F.coalesce(F.array_contains(exclude, F.col("file_path")), F.lit(False)))
-    hits = hits.withColumn("score", F.round(C.dot(F.col("qv"), F.col("cv")), 6)).where(F.col("score") >= threshold)
-    return top_k(hits.drop("qv", "cv"), ["query_id"], k, F.desc("score"), "chunk_id")
+    hits = hits.withColumn("_cos", C.dot(F.col("qv"), F.col("cv")) / (F.col("qn") * F.col("cn"))).where(F.col("_cos") >= threshold)
+    best = top_k(hits.drop("qv", "cv", "qn", "cn"), ["query_id"], k, F.desc("_cos"), "chunk_id")
+    return best.withColumn("score", F.round("_cos", 6)).drop("_cos")
 
 
 def past_findings(queries: DataFrame, findings: DataFrame, k: int = 3) -> DataFrame:
@@ -99,7 +101,7 @@ def cache_split(texts: DataFrame, cache: DataFrame, text: str = "text", now: Col
     cache: key, value, expires_at. Misses of the same key are to be computed once.
     """
     now = F.current_timestamp() if now is None else now
-    alive = cache.where(F.col("expires_at") > now).groupBy("key").agg(F.max_by("value", "expires_at").alias("value"))
+    alive = cache.where(F.col("expires_at") > now).groupBy("key").agg(F.max_by("value", F.struct("expires_at", "value")).alias("value"))
     rows = texts.withColumn("key", C.short_hash(F.col(text))).join(alive, "key", "left").withColumn("hit", F.col("value").isNotNull())
     w = Window.partitionBy("key").orderBy("ord")
     return rows.withColumn("computes", ~F.col("hit") & (F.row_number().over(w) == 1))
@@ -126,3 +128,8 @@ def rag_section(chunks: DataFrame, called: DataFrame, past: DataFrame) -> DataFr
     b = part(called, 3, "## Call Sites of Changed Functions", F.concat(where, F.lit("** `"), "name", F.lit("`:\n"), fence(300)), "b", "\n\n")
     c = part(past, None, "## Similar Past Findings (Few-Shot Examples)", F.concat(F.lit("- **["), "severity", F.lit("]** "), "title", F.lit(": "), F.substring("body", 1, 150)), "c", "\n\n")
     return a.join(b, "query_id", "full").join(c, "query_id", "full").select("query_id", F.concat_ws("\n\n", "a", "b", "c").alias("section"))
+
+
+def enriched_files(files: DataFrame, sections: DataFrame) -> DataFrame:
+    """Files (diff_id, filename) with the context that was retrieved for them (diff_id, filename, section); null where there is none."""
+    return files.join(sections.select("diff_id", "filename", "section"), ["diff_id", "filename"], "left")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+
 EVENT_SCHEMA = (
     "action string, installation struct<id:long,account:struct<login:string,type:string>>, repository struct<id:long,full_name:string>, "
     "repositories array<struct<id:long,full_name:string>>, repositories_added array<struct<id:long,full_name:string>>, repositories_removed array<struct<id:long,full_name:string>>, "
@@ -59,20 +61,32 @@ class ReviewConfig:
     language_rules: dict[str, bool] = field(default_factory=dict)
 
 
+def _checked(name: str, value, default):
+    """``value`` if it has the type that field ``name`` needs, else the default."""
+    if name == "ignore_patterns":
+        return list(value) if isinstance(value, list) and all(isinstance(x, str) for x in value) else default
+    if name == "language_rules":
+        return {k: v for k, v in value.items() if isinstance(k, str) and isinstance(v, bool)} if isinstance(value, dict) else default
+    if name == "severity_threshold":
+        return value if value in V.SEVERITIES else default
+    return value if type(value) is type(default) else default
+
+
 def parse_config(content: str | None) -> ReviewConfig:
-    """Review settings from YAML; anything of the wrong shape gives the defaults."""
+    """Review settings from YAML; what isn't of the right shape, field by field, gives the default."""
     import yaml
 
+    default = ReviewConfig()
     try:
         data = yaml.safe_load(content or "")
     except yaml.YAMLError:
-        return ReviewConfig()
-    review = data.get("review", {}) if isinstance(data, dict) else None
+        return default
+    review = data.get("review") if isinstance(data, dict) else None
     if not isinstance(review, dict):
-        return ReviewConfig()
+        return default
     names = {"style_review": "style"}
-    default = ReviewConfig()
-    return ReviewConfig(**{f: review.get(names.get(f, f), getattr(default, f)) for f in ReviewConfig.__dataclass_fields__})
+    given = {f: review[names.get(f, f)] for f in ReviewConfig.__dataclass_fields__ if names.get(f, f) in review}
+    return ReviewConfig(**{f: _checked(f, v, getattr(default, f)) for f, v in given.items()})
 
 
 def config_rows(files: DataFrame) -> DataFrame:
@@ -94,5 +108,5 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
 def kv_get(keys: DataFrame, store: DataFrame, now: Column | None = None) -> DataFrame:
     """Values of keys in an append log with expiry (key, value, expires_at); null where there is none alive."""
     now = F.current_timestamp() if now is None else now
-    alive = store.where(F.col("expires_at") > now).groupBy("key").agg(F.max_by("value", "expires_at").alias("value"))
+    alive = store.where(F.col("expires_at") > now).groupBy("key").agg(F.max_by("value", F.struct("expires_at", "value")).alias("value"))
     return keys.join(alive, "key", "left")
