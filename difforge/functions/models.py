@@ -177,6 +177,29 @@ def nodes_have_errors(nodes: DataFrame, keys: list[str]) -> DataFrame:
 PROMPT_LIMITS = {"diff": 3000, "file": 8000, "hunk": 500}
 
 
+#: What each stage asks a model; {slots} are filled by ``stage_prompt``. The wording is ours, the reply shapes are what ``findings`` reads.
+PROMPTS = {
+    "summary": "Summarise this change.\nTitle: {title}\nDiff:\n{diff}\nReply with a JSON object: summary, key_changes (list), risk_level (low, medium or high).",
+    "bug": "Find defects in {filename}.\n{context}\n{lint}\nDiff:\n{diff}\nReply with a JSON list of objects: line_start, line_end, severity, category, title, body, suggestion_code.",
+    "xfile": "{description}\nCall sites:\n{diff}\nReply with a JSON object: has_breaking_changes, affected_call_sites (list of file, line, issue, suggestion).",
+    "style": "Review the style of {filename}. {guidelines}\nDiff:\n{diff}\nReply with a JSON list as for defects, severity low or medium.",
+    "dedup": "Some of these findings may say the same.\n{findings}\nReply with a JSON list of the ids to keep.",
+}
+
+
+def stage_prompt(stage: str, **parts: Column) -> Column:
+    """The prompt of a stage; a null or missing part is empty, ``diff`` and ``file`` are cut to PROMPT_LIMITS."""
+    pieces = re.split(r"\{(\w+)\}", PROMPTS[stage])
+    out = []
+    for i, piece in enumerate(pieces):
+        if i % 2 == 0:
+            out.append(F.lit(piece))
+        elif piece in parts:
+            text = F.coalesce(parts[piece], F.lit(""))
+            out.append(F.substring(text, 1, PROMPT_LIMITS[piece]) if piece in PROMPT_LIMITS else text)
+    return F.concat(*out)
+
+
 def prompt(template: str, **parts: tuple[str, str]) -> Column:
     """A prompt from ``template`` with {name} slots; each part is (column, kind), cut to the kind's limit."""
     out = F.lit(template)

@@ -142,6 +142,17 @@ def describe_change(lines: DataFrame, limit: int = 200) -> DataFrame:
     return query_text(lines).withColumn("description", F.substring("query_text", 1, limit))
 
 
+def described(lines: DataFrame, cache: DataFrame, now: Column, limit: int = 200) -> DataFrame:
+    """Descriptions of changes, from ``cache`` (key, value, expires_at) where it has a live one: adds key, hit.
+
+    The key is the hash of the query text; a description that was made anew is to be put for seven days under it.
+    """
+    made = describe_change(lines, limit).withColumn("key", C.short_hash(F.col("query_text")))
+    alive = cache.where(F.col("expires_at") > now).groupBy("key").agg(F.max_by("value", F.struct("expires_at", "value")).alias("value"))
+    rows = made.join(alive, "key", "left")
+    return rows.withColumn("hit", F.col("value").isNotNull()).withColumn("description", F.coalesce("value", "description")).drop("value")
+
+
 def context_around(lines: DataFrame, reach: int = 10) -> DataFrame:
     """For each line, the text of up to ``reach`` hunk lines on either side, removed ones left out."""
     w = Window.partitionBy("diff_id", "file_ord", "hunk_ord").orderBy("line_ord").rowsBetween(-reach, reach)

@@ -15,6 +15,29 @@ def reviewable(path: Column) -> Column:
     return ~C.any_glob(C.basename(path), V.NO_REVIEW_GLOBS) & ~vendor
 
 
+def _glob_parts() -> tuple[list[str], list[str]]:
+    """(whole names, suffixes) of the globs of files that aren't reviewed; any other shape of glob is refused."""
+    names = [g for g in V.NO_REVIEW_GLOBS if "*" not in g]
+    ends = [g[1:] for g in V.NO_REVIEW_GLOBS if g[0] == "*" and "*" not in g[1:]]
+    if len(names) + len(ends) != len(V.NO_REVIEW_GLOBS) or any(c in g for g in V.NO_REVIEW_GLOBS for c in "?["):
+        raise ValueError("a glob is neither a name nor a suffix")
+    return names, ends
+
+
+def reviewable_name(path: Column) -> Column:
+    """``reviewable`` without patterns: by names, suffixes and folders."""
+    names, ends = _glob_parts()
+    base = F.substring_index(path, "/", -1)
+    short, long = [e[1:] for e in ends if e.count(".") == 1], [e for e in ends if e.count(".") > 1]
+    out = base.isin(*names) | (F.substring_index(base, ".", -1).isin(*short) & base.contains("."))
+    for e in long:
+        out = out | base.endswith(e)
+    around = F.concat(F.lit("/"), path, F.lit("/"))
+    for d in V.VENDOR_DIRS:
+        out = out | around.contains(f"/{d}/")
+    return ~out
+
+
 def ignored(path: Column, patterns: Column) -> Column:
     """Whether the whole path matches one of the configured globs (a column of shell patterns)."""
     quoted = lambda p: F.regexp_replace(p, r"([.^$+(){}|\\])", r"\\$1")
@@ -57,7 +80,9 @@ def cascade(rules: list[tuple[Column, bool, Column, str]]) -> Column:
 def gatekeeper(events: DataFrame, author: str = "author", labels: str = "labels", draft: str = "draft", files: str = "changed_files") -> DataFrame:
     """Adds should_process, reason, queue; a null file list passes the rules on files."""
     a, n = F.coalesce(F.col(author), F.lit("")), F.size(files)
-    good = F.size(F.filter(files, reviewable))
+    # Counted once, as a column; what the globs name whole or by suffix is looked up, only the rest is matched.
+    events = events.withColumn("_good", F.size(F.filter(files, reviewable_name)))
+    good = F.col("_good")
     known = F.col(files).isNotNull()
     text = F.format_string
     rules = [
@@ -69,7 +94,7 @@ def gatekeeper(events: DataFrame, author: str = "author", labels: str = "labels"
         (known, True, text("Reviewable PR: %d code files", good), "fast_lane"),
         (F.lit(True), True, F.lit("No file list — defaulting to fast_lane"), "fast_lane"),
     ]
-    return events.withColumn("_r", cascade(rules)).select("*", "_r.*").drop("_r")
+    return events.withColumn("_r", cascade(rules)).select("*", "_r.*").drop("_r", "_good")
 
 
 def event_route(event: Column, action: Column) -> Column:

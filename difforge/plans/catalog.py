@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..functions import models
 from ..operators import chunking, diff, findings, indexing, intervals, retrieval, reviews, routing
 from ..session import shared_dir
-from ..sources import readers
+from ..sources import readers, sinks
 from ..sources.readers import table
 from ..streaming import streams
 from . import proxies as P
@@ -50,7 +50,7 @@ def past_findings_topk(spark, sf):
 
 @query
 def keyword_callers(spark, sf):
-    """JOIN-9, SRT-3, FLT-12: the first ten files of each repository that hold a keyword."""
+    """JOIN-9, SRT-3: the first ten files of each repository that hold a keyword."""
     d = P.documents(spark, sf).select("repo_id", F.col("doc_id").alias("chunk_id"), "file_path", F.lit(1).alias("start_line"), "content")
     words = spark.createDataFrame([(w,) for w in ("the", "und", "les", "de")], "name string")
     names = d.select("repo_id").distinct().crossJoin(F.broadcast(words)).select(F.concat_ws(":", "repo_id", "name").alias("query_id"), "repo_id", "name", F.array().cast("array<string>").alias("exclude"))
@@ -219,7 +219,7 @@ def diff_line_table(spark, sf):
 
 @query
 def diff_file_table(spark, sf):
-    """PRJ-3, PRJ-4, AGG-1, AGG-7: files of diffs with additions and deletions."""
+    """PRJ-3, PRJ-4, AGG-1: files of diffs with additions and deletions."""
     return diff.diff_files(P.diffs(spark, sf)).select("diff_id", "filename", "old_filename", "status", "language", "is_binary", "additions", "deletions")
 
 
@@ -336,7 +336,7 @@ def severity_gate(spark, sf):
 
 @query
 def cap_by_severity(spark, sf):
-    """SRT-1, SRT-2: the first 25 findings of each file, by severity, line and input order."""
+    """SRT-2: the first 25 findings of each file, by severity, line and input order."""
     return retrieval.top_k(P.findings(spark, sf), ["file_path"], 25, "rank", "line_start", "ord", out="pos").select("file_path", "ord", "pos")
 
 
@@ -392,7 +392,7 @@ def lint_ingest(spark, sf):
 
 @query
 def latest_wins(spark, sf):
-    """SNK-2, SNK-3, SNK-5: the last order of each customer."""
+    """The latest-wins view behind SNK-2 and SNK-5: the last order of each customer."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate")
     return indexing.latest(o, ["o_custkey"], "o_orderdate", "o_orderkey")
 
@@ -416,7 +416,7 @@ def delete_by_filter(spark, sf):
 
 @query
 def incremental_chunks(spark, sf):
-    """JOIN-5, SET-3, SRC-7: header chunks of files that are not in the table at this commit."""
+    """JOIN-5, SET-3: header chunks of files that are not in the table at this commit."""
     c = chunking.header_chunks(P.documents(spark, sf), ["repo_id"]).withColumn("commit_sha", F.substring("chunk_id", 1, 1))
     old = c.where("repo_id < 'src2'").withColumn("commit_sha", F.when(F.col("commit_sha") < "8", F.col("commit_sha")).otherwise("old"))
     return indexing.new_chunks(c, old).select("repo_id", "file_path", "chunk_id", "commit_sha")
@@ -504,19 +504,273 @@ def default_heads(spark, sf):
 
 @query
 def kv_lookup(spark, sf):
-    """SRC-9, SNK-8: values that are still alive at an hour, by user."""
+    """SRC-9: values that are still alive at an hour, by user."""
     e = P.hours(spark, sf)
     store = e.where("event_type <> 'view'").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"), F.struct("h", "event_id").alias("expires_at"))
     keys = e.select(F.col("user_id").alias("key")).distinct()
     return readers.kv_get(keys, store, F.struct(F.lit(700).alias("h"), F.lit(0).cast("long").alias("event_id")))
 
 
+# --- model replies, synthesis and bookkeeping ---------------------------------
+
+
+def _views(spark, sf, key: str = "user_id") -> DataFrame:
+    e = P.hours(spark, sf).where("event_type = 'view'")
+    return e.groupBy(F.col("user_id").alias(key), F.col("h").alias("new_lineno")).agg(F.max("event_id").alias("diff_position"))
+
+
+@query
+def lint_to_findings(spark, sf):
+    """PRJ-7, JOIN-1: linter rows as findings at their diff position."""
+    e = P.hours(spark, sf).where("event_type = 'error'")
+    leak = F.col("event_id") % 5 == 0
+    lint = e.select(F.col("event_id").alias("probe_id"), "user_id", F.col("h").alias("line"), F.when(leak, "gitleaks").otherwise("ruff").alias("tool"), F.lit("R").alias("rule"), F.lit("m").alias("message"), F.when(F.col("event_id") % 2 == 0, "error").otherwise("warning").alias("severity"))
+    return findings.from_lint(lint, _views(spark, sf), ["user_id"]).drop("suggestion_code")
+
+
+@query
+def lint_contexts(spark, sf):
+    """PRJ-19: linter rows as a prompt's bullet list."""
+    e = P.hours(spark, sf).where("event_type = 'error'")
+    return findings.lint_context(e.select(F.col("user_id").alias("file_path"), F.col("event_id").alias("line_ord"), F.col("h").alias("line"), F.lit("ruff").alias("tool"), F.lit("R").alias("rule"), F.lit("m").alias("message")))
+
+
+@query
+def style_findings(spark, sf):
+    """PRJ-9, JOIN-1: style replies as findings; severities other than low and medium count as low."""
+    e = P.hours(spark, sf).where("event_type = 'signup'")
+    k = F.get_json_object("props", "$.k").cast("int")
+    severity = F.element_at(F.array(*map(F.lit, ("High", "Medium", "Low"))), k % 3 + 1)
+    text = F.concat(F.lit('[{"line_start": '), F.col("h").cast("string"), F.lit(', "severity": "'), severity, F.lit('", "category": "bug"}]'))
+    replies = e.select(F.col("event_id").cast("string").alias("prompt_id"), F.col("user_id").alias("file_path"), text.alias("response"))
+    return findings.from_model(replies, _views(spark, sf, "file_path"), "style").select("prompt_id", "file_path", "line_start", "line_end", "diff_position", "severity", "category", "title", "confidence")
+
+
+@query
+def impact_findings(spark, sf):
+    """PRJ-10, JOIN-15: breaking call sites at their own file's position, else at the changed file's."""
+    e = P.hours(spark, sf).where("event_type = 'error'")
+    k = F.get_json_object("props", "$.k").cast("int")
+    site = F.struct(F.col("user_id").cast("string").alias("file"), F.col("h").alias("line"), F.lit("i").alias("issue"), F.when(k % 2 == 0, "s").otherwise("").alias("suggestion"))
+    reply = F.to_json(F.struct((k % 3 != 0).alias("has_breaking_changes"), F.array(site).alias("affected_call_sites")))
+    replies = e.select(F.col("event_id").cast("string").alias("prompt_id"), F.lit("f").alias("func_name"), (F.col("user_id") + 1).cast("string").alias("changed_file"), reply.alias("response"))
+    pos = _views(spark, sf, "file_path").withColumn("file_path", F.col("file_path").cast("string"))
+    return findings.from_impact(replies, pos).select("prompt_id", "file_path", "line_start", "diff_position", "body")
+
+
+@query
+def review_requests(spark, sf):
+    """PRJ-12, JOIN-13: comment requests, over several lines where both ends are mapped and lie in one hunk."""
+    e = P.hours(spark, sf)
+    f = e.where("event_type = 'signup'").select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("file_path"), F.col("h").alias("line_start"), (F.col("h") + F.col("event_id") % 3).cast("int").alias("line_end"), F.col("event_id").alias("diff_position"), F.lit("b").alias("body"))
+    hunks = e.where("event_type = 'click'").select(F.col("user_id").alias("file_path"), F.col("h").alias("hunk_start"), (F.col("h") + 4).alias("hunk_end"))
+    return findings.review_comments(f, _views(spark, sf, "file_path"), hunks)
+
+
+@query
+def rag_sections(spark, sf):
+    """PRJ-18: retrieved context as markdown, from each source's first documents."""
+    d = P.documents(spark, sf).withColumn("content", F.coalesce("content", F.lit("")))
+    d = retrieval.top_k(d, ["repo_id"], 5, "doc_id").withColumn("query_id", F.col("repo_id"))
+    c = d.select("query_id", "rank", "file_path", F.lit(1).alias("start_line"), F.col("rank").alias("end_line"), F.lit("n").alias("name"), F.lit("text").alias("language"), F.lit(0.5).alias("score"), "content")
+    past = d.select("query_id", "rank", F.lit("low").alias("severity"), F.lit("t").alias("title"), F.col("content").alias("body"))
+    return retrieval.rag_section(c, c, past).select("query_id", F.sha2("section", 256).alias("section_sha"))
+
+
+@query
+def summary_replies(spark, sf):
+    """PRJ-25: summary replies, whole, partial, broken and of the wrong shape."""
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    whole = F.concat(F.lit('{"summary": "s'), k.cast("string"), F.lit('", "key_changes": ["a", "b"], "risk_level": "HIGH"}'))
+    text = F.when(k % 4 == 0, whole).when(k % 4 == 1, '{"risk_level": "huge"}').when(k % 4 == 2, "[1]").otherwise('{"summary": "x", "key_changes": "none"}')
+    rows = findings.summary_reply(e.select(F.col("event_id").cast("string").alias("prompt_id"), text.alias("response")))
+    return rows.select("prompt_id", "summary", F.array_join("key_changes", "|").alias("changes"), "risk_level")
+
+
+@query
+def kept_findings(spark, sf):
+    """JOIN-16: findings that a model's list keeps, unless it keeps under half."""
+    e = table(spark, sf, "events")
+    f = retrieval.top_k(e.select(F.col("user_id").alias("review_id"), "event_id"), ["review_id"], 1 << 30, "event_id", out="idx").withColumn("idx", F.col("idx") - 1)
+    few = (F.col("review_id") % 3 == 1) & (F.col("idx") % 4 == 0)
+    keep = f.where(few | ((F.col("review_id") % 3 == 2) & (F.col("idx") % 4 != 0))).select("review_id", "idx")
+    return findings.keep_listed(f, keep).select("review_id", "idx")
+
+
+def _function_diffs(spark, sf) -> DataFrame:
+    """Diffs that change a function's signature in one file and call some function in another; every fourth is of no known language."""
+    d = table(spark, sf, "documents")
+    name = F.concat(F.lit("a."), F.when(F.col("doc_id") % 4 == 0, "none").otherwise("py"))
+    f = lambda n: F.concat(F.lit("f"), (F.col("doc_id") % n).cast("string"))
+    first = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,2 +1,2 @@\n-def "), f(7), F.lit("(a):\n+def "), f(7), F.lit("(b):\n x = 1\n"))
+    second = F.concat(F.lit("diff --git a/b.py b/b.py\n--- a/b.py\n+++ b/b.py\n@@ -1 +1,2 @@\n y = 2\n+z = "), f(5), F.lit("(3)"))
+    return d.select(F.col("doc_id").alias("diff_id"), F.concat(first, second).alias("diff_text"))
+
+
+@query
+def changed_signatures(spark, sf):
+    """SET-2: functions whose definition is removed and added in one hunk."""
+    return diff.changed_functions(diff.diff_lines(_function_diffs(spark, sf))).select("diff_id", "filename", "name", "description")
+
+
+@query
+def function_gate(spark, sf):
+    """FLT-17: whether a diff touches a function's definition."""
+    return diff.touches_functions(diff.diff_lines(_function_diffs(spark, sf)))
+
+
+@query
+def changed_call_sites(spark, sf):
+    """JOIN-8, SRT-5, PRJ-16: calls of changed functions in other files."""
+    lines = diff.diff_lines(_function_diffs(spark, sf))
+    return diff.call_sites(diff.changed_functions(lines), lines)
+
+
+@query
+def synthesis(spark, sf):
+    """SRT-1, SRT-2, JOIN-3, AGG-6, FLT-7/8: findings of ten reviews, gated, merged, capped at 25 and put in order."""
+    f = P.findings(spark, sf).withColumns({"review_id": F.substring("file_path", 1, 1), "diff_position": (F.col("ord") % 4).cast("int")}).drop("rank")
+    return findings.synthesise(f).select("review_id", "file_path", "ord", "pos")
+
+
+@query
+def dedup_views(spark, sf):
+    """PRJ-22: the list of findings that a model is asked to thin out."""
+    f = P.findings(spark, sf).withColumns({"review_id": F.col("file_path"), "pos": F.col("ord"), "title": F.lit("t"), "body": F.lit("b")})
+    return findings.dedup_view(f).select("review_id", F.sha2("view", 256).alias("view_sha"))
+
+
+@query
+def review_log(spark, sf):
+    """SNK-1, SNK-2: reviews from their log; a purchase completes one."""
+    e = table(spark, sf, "events")
+    log = e.select(F.col("user_id").alias("review_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type")).alias("status"), F.col("ts").alias("at"))
+    rows = reviews.review_state(log)
+    return rows.select("review_id", F.when(F.col("status") == "completed", "purchase").otherwise(F.col("status")).alias("status"), "seq", "started_at", "completed_at")
+
+
+@query
+def vector_upsert(spark, sf):
+    """SNK-5, SNK-6: chunks put in by key over older ones, and new keys appended."""
+    d = P.documents(spark, sf).select("doc_id")
+    old, new = d.withColumn("commit_sha", F.lit("old")), d.where("doc_id % 3 = 0").withColumn("commit_sha", F.lit("new"))
+    more = d.where("doc_id % 5 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("new").alias("commit_sha"))
+    return indexing.upsert(old, new.unionByName(more), ["doc_id"])
+
+
+@query
+def kv_round_trip(spark, sf):
+    """SNK-8, SRC-9: values put with an expiry and read back between two expiries."""
+    e, path = table(spark, sf, "events"), f"{shared_dir(spark)}/difforge-kv-{uuid.uuid4().hex}"
+    at = F.lit("2024-01-01").cast("timestamp")
+    for kind, seconds in (("error", 60), ("click", 10)):
+        sinks.kv_put(e.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.col("event_id").alias("value")), path, seconds, at)
+    return readers.kv_get(e.select(F.col("user_id").alias("key")).distinct(), spark.read.parquet(path), at + F.expr("INTERVAL 30 SECONDS"))
+
+
+@query
+def installation_state(spark, sf):
+    """SNK-3, SNK-4: repositories of installations after additions, removals and ends, put back where they come again."""
+    e = table(spark, sf, "events")
+    end = F.when(F.col("event_id") % 50 == 0, "installation_deleted").otherwise("noop")
+    route = F.when(F.col("event_type") == "signup", "installation_created").when(F.col("event_type") == "click", "repos_added").when(F.col("event_type") == "view", "repos_removed").when(F.col("event_type") == "error", end).otherwise("noop")
+    repo = F.array(F.struct(F.col("user_id").alias("id"), F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("full_name")))
+    return indexing.installed(e.select(F.col("event_id").alias("seq"), (F.col("user_id") % 20).alias("installation_id"), route.alias("route"), repo.alias("repos")))
+
+
+@query
+def status_table(spark, sf):
+    """AGG-7: files by status."""
+    d = table(spark, sf, "documents")
+    status = F.element_at(F.array(*map(F.lit, ("added", "modified", "removed"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return diff.status_counts(d.select(F.col("doc_id").alias("diff_id"), status.alias("status")))
+
+
+@query
+def changed_line_table(spark, sf):
+    """AGG-8: distinct lines of the new file that the diff shows."""
+    return diff.changed_lines(diff.diff_lines(P.diffs(spark, sf)))
+
+
+@query
+def function_name_lists(spark, sf):
+    """AGG-9: distinct names in first-seen order."""
+    c = table(spark, sf, "conversations")
+    h = c.select(F.col("conv_id").alias("diff_id"), F.lit("f").alias("filename"), F.col("turn").alias("hunk_ord"), F.col("role").alias("ast_function_context"))
+    return diff.function_names(h).select("diff_id", F.array_join("names", ",").alias("names"))
+
+
+@query
+def text_matches(spark, sf):
+    """FLT-12: documents that hold all words of a name."""
+    d = P.documents(spark, sf)
+    return d.where(retrieval.text_match(F.col("content"), "the and")).select("doc_id")
+
+
+@query
+def review_gates(spark, sf):
+    """FLT-18, FLT-19, FLT-20, FLT-21: gates of a review and of its stages, and what indexing does with a file."""
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    status = F.when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "click", "renamed").otherwise("other")
+    rows = routing.review_gate(e.withColumns({"files": i % 4, "enabled": F.col("event_type") != "error", "reviewable_files": i % 3}))
+    return rows.select("event_id", "gate", routing.rag_gate(i % 7, i % 2 == 0).alias("rag"), routing.style_gate(F.when(F.col("event_type") == "view", i % 2 == 0)).alias("style"), routing.index_action(status).alias("action"))
+
+
+@query
+def point_lookup(spark, sf):
+    """SRC-8: one row by its key."""
+    return readers.by_key(table(spark, sf, "customer"), "c_custkey", 42).select("c_custkey", "c_name")
+
+
+@query
+def payload_scroll(spark, sf):
+    """SRC-6: a filtered scan, at most 100 rows; the filter leaves fewer."""
+    return indexing.table_rows(table(spark, sf, "nation"), F.col("n_regionkey") == 1).select("n_nationkey", "n_name")
+
+
+@query
+def indexed_chunk_ids(spark, sf):
+    """SRC-7: ids stored for a file at a commit."""
+    d = P.documents(spark, sf)
+    c = chunking.header_chunks(d, ["repo_id", "doc_id"]).withColumn("commit_sha", F.lit("s"))
+    one = c.withColumns({"file_path": F.col("doc_id").cast("string"), "repo_id": F.lit(1)})
+    return indexing.indexed_ids(one, 1, "7", "s")
+
+
+@query
+def reviewed_counts(spark, sf):
+    """AGG-3: files and hunks of each diff."""
+    lines = diff.diff_lines(P.diffs(spark, sf))
+    return reviews.reviewed(lines.select("diff_id", "file_ord", "hunk_ord").distinct())
+
+
+@query
+def bug_prompts(spark, sf):
+    """JOIN-6, UDF-9, SRT-6: each file's prompt with the context that was found for it."""
+    d = P.documents(spark, sf)
+    files = d.select("doc_id", F.col("repo_id").alias("diff_id"), F.col("file_path").alias("filename"), "content")
+    found = d.where("doc_id % 2 = 0").select(F.col("repo_id").alias("diff_id"), F.col("file_path").alias("filename"), F.concat(F.lit("ctx"), F.col("doc_id").cast("string")).alias("section"))
+    rows = retrieval.enriched_files(files, found)
+    text = models.stage_prompt("bug", filename=F.col("filename"), context=F.col("section"), diff=F.col("content"))
+    return rows.select("doc_id", F.sha2(text, 256).alias("prompt_sha"))
+
+
+@query
+def cached_descriptions(spark, sf):
+    """UDF-10: descriptions of changes, half of them from a cache."""
+    lines = diff.diff_lines(P.diffs(spark, sf))
+    key = C.short_hash(F.col("query_text"))
+    cache = diff.query_text(lines).where(key < "8").select(key.alias("key"), F.lit("known").alias("value"), F.lit("2100-01-01").cast("timestamp").alias("expires_at")).distinct()
+    return diff.described(lines, cache, F.lit("2024-01-01").cast("timestamp")).select("diff_id", "hit", "description")
+
+
 # --- beyond SQL --------------------------------------------------------------
 
 
 @query
 def route_stream(spark, sf):
-    """§2.11, SRC-4, SNK-10: events replayed as a stream of deliveries, routed and logged batch by batch."""
+    """§2.11, SRC-4: events replayed as a stream of deliveries, routed and logged batch by batch."""
     root = f"{shared_dir(spark)}/difforge-stream-{uuid.uuid4().hex}"
 
     def deliveries(e: DataFrame) -> DataFrame:

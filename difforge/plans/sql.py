@@ -26,13 +26,13 @@ NEAREST = """t AS (SELECT p.*, o.off, o.try FROM p, (VALUES (0, 0), (1, 1), (-1,
 VIEWS = "pos AS (SELECT user_id, h AS new_lineno, max(event_id) AS diff_position FROM e WHERE event_type = 'view' GROUP BY ALL)"
 NO_REVIEW = r"\.(md|rst|txt|adoc|wiki|png|jpg|jpeg|gif|svg|ico|webp|lock|sum|map|iml)$|\.min\.(js|css)$"
 SECURITY = "(auth|password|passwd|token|payment|billing|crypto|secret|jwt|oauth|credential|session|permission|rbac|acl|signature|hmac)"
-TOP = "SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label"
+TOP = "SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings c ON q.label = c.label"
 
 SQL = {
     "context_topk": f"""WITH s AS ({TOP} AND q.vec_id <> c.vec_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s WHERE score >= 0.25)
-SELECT query_id, id AS chunk_id, score, rank FROM r WHERE rank <= 5""",
+SELECT query_id, id AS chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
     "past_findings_topk": f"""WITH s AS ({TOP}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s)
-SELECT query_id, id AS finding_id, score, rank FROM r WHERE rank <= 3""",
+SELECT query_id, id AS finding_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""",
     "keyword_callers": f"""WITH {DOCS}, w AS (SELECT DISTINCT repo_id, doc_id, file_path, unnest(regexp_extract_all(lower(content), '[a-z]+')) AS token FROM d),
   h AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id, token ORDER BY file_path, doc_id) AS INT) AS rank FROM w WHERE token IN ('the', 'und', 'les', 'de'))
 SELECT repo_id || ':' || token AS query_id, doc_id AS chunk_id, rank FROM h WHERE rank <= 10""",
@@ -170,3 +170,66 @@ WINDOW w AS (PARTITION BY repo_id ORDER BY batch_no ROWS UNBOUNDED PRECEDING)"""
     "kv_lookup": f"""WITH {EVENTS}, s AS (SELECT user_id, event_id, h FROM e WHERE event_type <> 'view' AND h >= 700 AND (h > 700 OR event_id > 0))
 SELECT k.user_id AS key, arg_max(s.event_id, h * 1000000000000 + s.event_id) AS value FROM (SELECT DISTINCT user_id FROM e) k LEFT JOIN s ON s.user_id = k.user_id GROUP BY k.user_id""",
 }
+
+OFFSETS = "o AS (SELECT * FROM (VALUES (0, 0), (1, 1), (-1, 2), (2, 3), (-2, 4), (3, 5), (-3, 6)) AS o(off, try))"
+_REPOS = "s AS (SELECT event_id AS seq, CAST(user_id % 20 AS BIGINT) AS inst, user_id AS repo, CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'add' WHEN 'view' THEN 'remove' WHEN 'error' THEN CASE WHEN event_id % 50 = 0 THEN 'end' END END AS what FROM events)"
+
+SQL |= {
+    "lint_to_findings": f"""WITH {EVENTS}, {VIEWS}, p AS (SELECT event_id AS probe_id, user_id, h AS line, event_id % 5 = 0 AS leak, event_id % 2 = 0 AS bad FROM e WHERE event_type = 'error'), {NEAREST}
+SELECT user_id, probe_id, line AS line_start, line AS line_end, diff_position, CASE WHEN leak THEN 'critical' WHEN bad THEN 'medium' ELSE 'low' END AS severity, CASE WHEN leak THEN 'security' ELSE 'bug' END AS category,
+  CASE WHEN leak THEN '[gitleaks] R' ELSE '[ruff] R' END AS title, 'm' AS body, 0.85 AS confidence FROM hit WHERE n = 1""",
+    "lint_contexts": f"""WITH {EVENTS} SELECT user_id AS file_path, '**Static analysis findings for this file:**' || chr(10) || string_agg('  - Line ' || h || ' [ruff/R]: m', chr(10) ORDER BY event_id) AS lint_context FROM e WHERE event_type = 'error' GROUP BY ALL""",
+    "style_findings": f"""WITH {EVENTS}, {VIEWS}, p AS (SELECT event_id AS probe_id, user_id, h AS line, k FROM e WHERE event_type = 'signup'), {NEAREST}
+SELECT CAST(probe_id AS VARCHAR) AS prompt_id, user_id AS file_path, line AS line_start, line AS line_end, diff_position, CASE k % 3 WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'style' AS category, 'Style issue' AS title, 0.7 AS confidence FROM hit WHERE n = 1""",
+    "impact_findings": f"""WITH {EVENTS}, {VIEWS}, {OFFSETS}, p AS (SELECT event_id, user_id, user_id + 1 AS other, h, k FROM e WHERE event_type = 'error' AND k % 3 <> 0),
+  own AS (SELECT event_id, arg_min(diff_position, try) AS pos FROM p JOIN pos USING (user_id) JOIN o ON new_lineno = h + off GROUP BY event_id),
+  back AS (SELECT event_id, arg_min(diff_position, try) AS pos FROM p JOIN pos ON pos.user_id = p.other JOIN o ON new_lineno = h + off GROUP BY event_id)
+SELECT CAST(p.event_id AS VARCHAR) AS prompt_id, CAST(p.user_id AS VARCHAR) AS file_path, h AS line_start, coalesce(own.pos, back.pos) AS diff_position, 'i' || CASE WHEN k % 2 = 0 THEN chr(10) || chr(10) || '**Suggested fix:** s' ELSE '' END AS body
+FROM p LEFT JOIN own USING (event_id) LEFT JOIN back USING (event_id) WHERE coalesce(own.pos, back.pos) IS NOT NULL""",
+    "review_requests": f"""WITH {EVENTS}, {VIEWS}, p AS (SELECT event_id, user_id, h AS a, CAST(h + event_id % 3 AS INT) AS b FROM e WHERE event_type = 'signup'),
+  m AS (SELECT *, a < b AND EXISTS (SELECT 1 FROM pos WHERE pos.user_id = p.user_id AND new_lineno = a) AND EXISTS (SELECT 1 FROM pos WHERE pos.user_id = p.user_id AND new_lineno = b)
+    AND (NOT EXISTS (SELECT 1 FROM e c WHERE c.event_type = 'click' AND c.user_id = p.user_id) OR EXISTS (SELECT 1 FROM e c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND a >= c.h AND b <= c.h + 4)) AS multi FROM p)
+SELECT event_id AS probe_id, user_id AS path, CASE WHEN NOT multi THEN event_id END AS position, CASE WHEN multi THEN a END AS start_line, CASE WHEN multi THEN b END AS line, CASE WHEN multi THEN 'RIGHT' END AS start_side, CASE WHEN multi THEN 'RIGHT' END AS side, 'b' AS body FROM m""",
+    "rag_sections": f"""WITH {DOCS}, r AS (SELECT repo_id, file_path, doc_id, coalesce(content, '') AS c, row_number() OVER (PARTITION BY repo_id ORDER BY doc_id) AS n FROM d)
+SELECT repo_id AS query_id, sha256('## Semantically Related Code in This Repository' || chr(10) || chr(10) || string_agg('**' || file_path || ':1–' || n || '** `n` (similarity 0.50):' || chr(10) || '```text' || chr(10) || substr(c, 1, 400) || chr(10) || '```', chr(10) || chr(10) ORDER BY n) FILTER (n <= 3)
+  || chr(10) || chr(10) || '## Call Sites of Changed Functions' || chr(10) || chr(10) || string_agg('**' || file_path || ':1** `n`:' || chr(10) || '```text' || chr(10) || substr(c, 1, 300) || chr(10) || '```', chr(10) || chr(10) ORDER BY n) FILTER (n <= 3)
+  || chr(10) || chr(10) || '## Similar Past Findings (Few-Shot Examples)' || chr(10) || chr(10) || string_agg('- **[low]** t: ' || substr(c, 1, 150), chr(10) || chr(10) ORDER BY n) FILTER (n <= 5)) AS section_sha FROM r GROUP BY repo_id""",
+    "summary_replies": f"""WITH {EVENTS} SELECT CAST(event_id AS VARCHAR) AS prompt_id, CASE k % 4 WHEN 0 THEN 's' || k WHEN 1 THEN 'PR reviewed.' WHEN 2 THEN 'Change reviewed.' ELSE 'x' END AS summary, CASE WHEN k % 4 = 0 THEN 'a|b' ELSE '' END AS changes,
+  CASE WHEN k % 4 = 0 THEN 'high' ELSE 'low' END AS risk_level FROM e""",
+    "kept_findings": f"""WITH {EVENTS}, f AS (SELECT user_id AS review_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS total FROM e),
+  m AS (SELECT *, CASE user_id3 WHEN 0 THEN NULL WHEN 1 THEN idx % 4 = 0 ELSE idx % 4 <> 0 END AS listed FROM (SELECT *, review_id % 3 AS user_id3 FROM f)),
+  t AS (SELECT review_id, count(*) FILTER (listed) AS kept FROM m GROUP BY review_id)
+SELECT review_id, CAST(idx AS INT) AS idx FROM m JOIN t USING (review_id) WHERE CASE WHEN user_id3 = 0 OR kept = 0 THEN true WHEN kept < total // 2 THEN idx < greatest(15, total // 2) ELSE listed END""",
+    "changed_signatures": "SELECT doc_id AS diff_id, 'a.py' AS filename, 'f' || doc_id % 7 AS name, 'Function `f' || doc_id % 7 || '` signature was modified in `a.py`' AS description FROM documents WHERE doc_id % 4 <> 0",
+    "function_gate": "SELECT doc_id AS diff_id, doc_id % 4 <> 0 AS touches_functions FROM documents",
+    "changed_call_sites": """SELECT doc_id AS diff_id, 'a.py' AS changed_file, 'f' || doc_id % 7 AS name, 'b.py' AS site_file, 2 AS line, '   1 y = 2' || chr(10) || '   2 z = f' || doc_id % 5 || '(3)' AS code, 1 AS site_no
+FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 7 = doc_id % 5""",
+    "synthesis": f"""WITH RECURSIVE {FINDINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY ord) AS k FROM f WHERE ord % 4 > 0 AND rank <= 3),
+  walk AS (SELECT file_path, k, ord, ord AS seed, [{{'o': ord, 's': line_start, 'e': line_end}}] AS seeds FROM o WHERE k = 1
+    UNION ALL SELECT file_path, k, ord, coalesce(hit, ord), CASE WHEN hit IS NULL THEN list_append(seeds, {{'o': ord, 's': line_start, 'e': line_end}}) ELSE seeds END
+    FROM (SELECT o.file_path, o.k, o.ord, o.line_start, o.line_end, w.seeds, list_filter(w.seeds, lambda x: x.s <= o.line_end + 3 AND x.e >= o.line_start - 3)[1].o AS hit
+      FROM walk w JOIN o ON o.file_path = w.file_path AND o.k = w.k + 1)),
+  g AS (SELECT o.*, walk.seed, row_number() OVER (PARTITION BY o.file_path, walk.seed ORDER BY o.rank, o.confidence DESC, o.ord) AS n FROM o JOIN walk ON o.file_path = walk.file_path AND o.ord = walk.ord),
+  c AS (SELECT *, CAST(substr(file_path, 1, 1) AS VARCHAR) AS review_id, row_number() OVER (PARTITION BY substr(file_path, 1, 1) ORDER BY rank, seed) AS place FROM g WHERE n = 1)
+SELECT review_id, file_path, ord, CAST(row_number() OVER (PARTITION BY review_id ORDER BY rank, file_path, line_start, seed) AS INT) AS pos FROM c WHERE place <= 25""",
+    "dedup_views": f"""WITH {FINDINGS} SELECT file_path AS review_id, sha256('[' || string_agg('{{"id":' || (ord - 1) || ',"file":"' || file_path || '","line_start":' || line_start || ',"line_end":' || line_end || ',"severity":"' || severity || '","category":"' || category || '","title":"t","body":"b"}}', ',' ORDER BY ord) || ']') AS view_sha FROM f GROUP BY ALL""",
+    "review_log": """SELECT user_id AS review_id, arg_max(event_type, event_id) AS status, max(event_id) AS seq, min(ts) AS started_at, CASE WHEN arg_max(event_type, event_id) = 'completed' OR arg_max(event_type, event_id) = 'purchase' THEN arg_max(ts, event_id) END AS completed_at FROM events GROUP BY user_id""",
+    "vector_upsert": f"""WITH {DOCS} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS commit_sha FROM d UNION ALL SELECT doc_id + 1000000, 'new' FROM d WHERE doc_id % 5 = 0""",
+    "kv_round_trip": "SELECT u.user_id AS key, m.value FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, max(event_id) AS value FROM events WHERE event_type = 'error' GROUP BY ALL) m USING (user_id)",
+    "installation_state": f"""WITH {_REPOS}, r AS (SELECT inst, repo, max(seq) AS seq, arg_max(what, seq) AS what FROM s WHERE what IN ('add', 'remove') GROUP BY ALL), x AS (SELECT inst, max(seq) AS gone FROM s WHERE what = 'end' GROUP BY ALL)
+SELECT inst AS installation_id, repo AS repo_id, 'r' || repo AS repo_full_name, what = 'add' AND (gone IS NULL OR gone < seq) AS active FROM r LEFT JOIN x USING (inst)""",
+    "status_table": "SELECT doc_id AS diff_id, CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 3 = 1 THEN 'modified' ELSE 'removed' END AS status, count(*) AS files FROM documents GROUP BY ALL",
+    "changed_line_table": f"WITH {DIFF} SELECT DISTINCT diff_id, file_path, new_lineno AS line FROM n WHERE line_type <> 'removed'",
+    "function_name_lists": "WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations WHERE role <> '' GROUP BY ALL) SELECT conv_id AS diff_id, string_agg(role, ',' ORDER BY t, role) AS names FROM f GROUP BY ALL",
+    "text_matches": f"WITH {DOCS} SELECT doc_id FROM d WHERE regexp_matches(content, '(?i)\\bthe\\b') AND regexp_matches(content, '(?i)\\band\\b')",
+    "review_gates": """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'no_files' WHEN event_type = 'error' THEN 'disabled' WHEN event_id % 3 = 0 THEN 'none_reviewable' ELSE 'run' END AS gate, event_id % 7 <> 0 AND event_id % 2 = 0 AS rag, CASE WHEN event_type = 'view' THEN event_id % 2 = 0 ELSE true END AS style,
+  CASE event_type WHEN 'error' THEN 'delete' WHEN 'click' THEN 'index' ELSE 'none' END AS action FROM events""",
+    "point_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42",
+    "payload_scroll": "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1",
+    "indexed_chunk_ids": f"WITH {LINES} SELECT substr(sha256(file_path || ':<file_header>:1'), 1, 16) AS chunk_id FROM ls WHERE doc_id = 7",
+    "reviewed_counts": f"WITH {DIFF} SELECT diff_id, 1 AS files_reviewed, count(DISTINCT hunk_ord) AS hunks_reviewed FROM n GROUP BY diff_id",
+    "bug_prompts": f"""WITH {DOCS} SELECT doc_id, sha256('Find defects in ' || file_path || '.' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'ctx' || doc_id ELSE '' END || chr(10) || '' || chr(10) || 'Diff:' || chr(10) || substr(coalesce(content, ''), 1, 3000) || chr(10)
+  || 'Reply with a JSON list of objects: line_start, line_end, severity, category, title, body, suggestion_code.') AS prompt_sha FROM d""",
+    "cached_descriptions": f"""WITH {DIFF}, g AS (SELECT diff_id, hunk_ord, string_agg(content, chr(10) ORDER BY i) AS t FROM n WHERE line_type = 'added' GROUP BY ALL), q AS (SELECT diff_id, substr(arg_min(t, hunk_ord), 1, 500) AS t FROM g GROUP BY diff_id)
+SELECT diff_id, substr(sha256(t), 1, 16) < '8' AS hit, CASE WHEN substr(sha256(t), 1, 16) < '8' THEN 'known' ELSE substr(t, 1, 200) END AS description FROM q""",
+}

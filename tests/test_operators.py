@@ -388,3 +388,34 @@ def test_rate_limit_and_progress(spark):
     repos = spark.createDataFrame([(1,), (2,)], "repo_id int")
     got = {r.repo_id: (r.status, r.percent) for r in indexing.progress(log, repos).collect()}
     assert got == {1: ("completed", 66.7), 2: ("not_indexed", 0.0)}
+
+
+def test_threshold_is_not_rounded(spark):
+    """0.7499996 shows as 0.75 but lies under it."""
+    c = 0.7499996
+    q = spark.createDataFrame([("q", 1, [1.0, 0.0])], "query_id string, repo_id int, vector array<double>")
+    rows = [(1, "under", [c, (1 - c * c) ** 0.5]), (1, "over", [0.7500004, (1 - 0.7500004**2) ** 0.5])]
+    got = retrieval.similar_chunks(q, spark.createDataFrame(rows, "repo_id int, chunk_id string, embedding array<double>"), 5, 0.75).collect()
+    assert [(r.chunk_id, r.score) for r in got] == [("over", 0.75)]
+
+
+@pytest.mark.parametrize("line", ["ignore_patterns: 7", "enabled: 'yes please'", "severity_threshold: 3", "ignore_patterns: '*.md'", "style: 1", "custom_guidelines: [a]", "ignore_patterns: [1, '*.md']"])
+def test_config_of_wrong_types(spark, line):
+    text = f"review:\n  {line}\n"
+    assert readers.parse_config(text) == readers.ReviewConfig()
+    row = readers.config_rows(spark.createDataFrame([(1, text)], "repo_id long, content string")).first()
+    assert row.enabled and row.ignore_patterns == [] and row.severity_threshold == "low" and row.style_review
+
+
+def test_installations_come_back(spark):
+    ev = [(1, 9, "installation_created", [(1, "a"), (2, "b")]), (2, 9, "repos_removed", [(1, "a")]), (3, 9, "installation_deleted", []), (4, 9, "installation_created", [(2, "b")]), (5, 8, "repos_added", [(7, "x")])]
+    e = spark.createDataFrame(ev, "seq long, installation_id long, route string, repos array<struct<id:long,full_name:string>>")
+    known = spark.createDataFrame([(9, 3, "old", True), (8, 5, "y", True)], "installation_id long, repo_id long, repo_full_name string, active boolean")
+    got = {(r.installation_id, r.repo_id): r.active for r in indexing.installed(e, known).collect()}
+    assert got == {(9, 1): False, (9, 2): True, (9, 3): False, (8, 7): True, (8, 5): True}
+
+
+def test_files_keep_their_place_without_context(spark):
+    files = spark.createDataFrame([(1, "a"), (1, "b")], "diff_id int, filename string")
+    found = spark.createDataFrame([(1, "a", "ctx"), (2, "b", "no")], "diff_id int, filename string, section string")
+    assert {(r.filename, r.section) for r in retrieval.enriched_files(files, found).collect()} == {("a", "ctx"), ("b", None)}
