@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .best_fit import pack_best_fit
 from .exact_dedup import exact_groups
 from .fixity import audit, records
 from .language import identify
@@ -16,6 +17,7 @@ from .ngram_join import near_groups
 from .packing import pack
 from .quality import score_quality
 from .sharding import assign_shards
+from .spelling import variants
 from .substring import repeated_passages
 
 
@@ -67,8 +69,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_best_fit(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_ngram_jaccard_join, op4_collision_ann, op5_substring_dedup, op6_mixing, op7_language_id, op8_merkle_fixity, op9_quality, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_ngram_jaccard_join, op4_collision_ann, op5_substring_dedup, op6_mixing, op7_language_id, op8_merkle_fixity, op9_quality, op10_exact_dedup, op11_spelling_variants, op12_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -94,4 +106,21 @@ WITH r AS (SELECT page_id, page_id // 1000 AS file, page_id % 1000 AS slot,
 SELECT page_id, file, slot, CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
        strlen(rec) AS length, sha256(rec) AS sha256,
        CASE mark WHEN 'ff' THEN 'missing' WHEN '00' THEN 'changed' ELSE 'ok' END AS status FROM r""",
+        "op11_spelling_variants": r"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) t(i))),
+  r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+  l AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM r WHERE length(run) >= 5 GROUP BY ALL),
+  x AS (SELECT run, c, hex(id || ':' || run) AS x FROM l),
+  b AS (SELECT run, c, list_transform(range(0, length(x) // 2), lambda i: (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) AS b FROM x),
+  h AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295, b), lambda s, o: xor(s >> 8, tab[(xor(s, o) & 255) + 1])), 4294967295) AS h FROM b, tab),
+  d AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+  v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+  k AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+  p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.i = b.i AND a.k = b.k AND a.word <> b.word
+    UNION SELECT k.word, k.n, v.word, v.n FROM k JOIN v ON v.word = k.k
+    UNION SELECT v.word, v.n, k.word, k.n FROM k JOIN v ON v.word = k.k),
+  q AS (SELECT word, n, near, near_n, count(*) OVER w AS n_near, row_number() OVER (w ORDER BY near_n DESC, near) AS at FROM p WINDOW w AS (PARTITION BY word)),
+  f AS MATERIALIZED (SELECT v.word, v.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN q ON q.word = v.word AND q.at = 1),
+  c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM f JOIN c ON c.word = f.word JOIN f g ON g.word = c.root WHERE g.form IS NULL""",
     }
