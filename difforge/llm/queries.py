@@ -15,6 +15,7 @@ from .language import identify
 from .mixing import balance
 from .ngram_join import near_groups
 from .packing import pack
+from .prefix_trie import conversation_trie
 from .quality import score_quality
 from .sharding import assign_shards
 from .spelling import variants
@@ -79,8 +80,12 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_ngram_jaccard_join, op4_collision_ann, op5_substring_dedup, op6_mixing, op7_language_id, op8_merkle_fixity, op9_quality, op10_exact_dedup, op11_spelling_variants, op12_best_fit_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_ngram_jaccard_join, op4_collision_ann, op5_substring_dedup, op6_mixing, op7_language_id, op8_merkle_fixity, op9_quality, op10_exact_dedup, op11_spelling_variants, op12_best_fit_packing, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -123,4 +128,20 @@ WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_red
   f AS MATERIALIZED (SELECT v.word, v.n, coalesce(q.n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form, CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN q ON q.word = v.word AND q.at = 1),
   c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM f JOIN c ON c.word = f.word JOIN f g ON g.word = c.root WHERE g.form IS NULL""",
+        "op13_conversation_trie": r"""
+WITH tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) t(i))),
+  t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS k FROM conversations WHERE conv_id IS NOT NULL),
+  i AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t GROUP BY conv_id),
+  c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda j: ord(substr(s, j, 1)))), lambda a, o: xor(a >> 8, tab[(xor(a, o) & 255) + 1])), 4294967295) % 9 AS h FROM i, tab),
+  b AS (SELECT c.conv_id, k, r, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND k <= h UNION ALL SELECT c.conv_id, k, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+  p AS (SELECT conv_id, row_number() OVER w AS d, strlen(x) AS b, string_agg(strlen(r) || ':' || r || strlen(x) || ':' || x, '') OVER w AS p FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+  a AS MATERIALIZED (SELECT conv_id, 0 AS d, 0 AS b, '' AS p FROM c UNION ALL FROM p),
+  e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends, lag(p) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM a),
+  n AS MATERIALIZED (SELECT p, d, any_value(up) AS up, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS h FROM e GROUP BY p, d),
+  k AS (SELECT up AS p, d - 1 AS d, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY ALL),
+  f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k ON k.p = n.p AND k.d = n.d),
+  s AS (SELECT DISTINCT x.p, x.d, y.p AS q, y.d AS e FROM a x JOIN a y ON x.conv_id = y.conv_id AND x.d <= y.d),
+  g AS (SELECT s.p, s.d, count(*) FILTER (f.kids = 0) AS n_leaves, CAST(sum((f.n - 1) * f.b) AS BIGINT) AS saved FROM s JOIN f ON f.p = s.q AND f.d = s.e GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, g.n_leaves, g.saved AS saved_tokens, f.h AS ends_sha256
+FROM f JOIN g ON g.p = f.p AND g.d = f.d LEFT JOIN n u ON u.p = f.up AND u.d = f.d - 1""",
     }
