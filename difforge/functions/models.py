@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import columns as C
+from . import syntax
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
@@ -95,27 +96,36 @@ def complete(prompts: DataFrame, clients: list[Callable[[str], tuple[str, int, i
     return prompts.select("prompt_id", "prompt").mapInPandas(run, "prompt_id string, response string, model string, input_tokens long, output_tokens long, attempts int")
 
 
-def _parses(code: str) -> bool:
+def _tree(source: str) -> ast.Module | tuple[str, int]:
+    """The tree of Python source, or (what is wrong, row from 0). Source nested beyond the parser's own limits counts as wrong."""
     try:
-        ast.parse(code)
-    except (SyntaxError, ValueError):
-        return False
-    return True
+        return ast.parse(source)
+    except SyntaxError as e:
+        return e.msg or "syntax error", max(0, (e.lineno or 1) - 1)
+    except (ValueError, MemoryError, RecursionError) as e:  # a NUL, or nesting of thousands
+        return ("NUL character" if isinstance(e, ValueError) else "nested too deeply"), 0
 
 
-def check_suggestion(code: str | None, language: str, start: int = 0, end: int = 0) -> tuple[bool, str | None, str | None]:
-    """(is_valid, error, fixed_code) of a suggested replacement of lines start to end. Only Python is parsed; other languages pass."""
+def _sound(code: str, language: str) -> bool:
+    return isinstance(_tree(code), ast.Module) if language == "python" else not syntax.errors(code, language)
+
+
+def check_suggestion(code: str | None, language: str | None, start: int = 0, end: int = 0) -> tuple[bool, str | None, str | None]:
+    """(is_valid, error, fixed_code) of a suggested replacement of lines start to end.
+
+    Python is parsed, the brace languages are checked for brackets, texts and comments without end; other languages pass.
+    """
     if not code or not code.strip():
         return False, "Empty suggestion", None
     need, have = end - start - 2, sum(1 for line in code.splitlines() if line.strip())
     if 0 < start < end and need > 3 and have < need:
         return False, f"Suggestion has {have} non-empty lines but the finding spans {end - start + 1} lines — likely incomplete fix", None
-    if language != "python" or _parses(code):
+    if language not in PARSED or _sound(code, language):
         return True, None, None
     flat = textwrap.dedent(code).strip()
-    if _parses(flat):
+    if _sound(flat, language):
         return True, None, flat
-    if _parses("def _():\n" + textwrap.indent(code, "    ", lambda _: True) + "\n"):
+    if language == "python" and _sound("def _():\n" + textwrap.indent(code, "    ", lambda _: True) + "\n", language):
         return True, None, None
     return False, f"Syntax errors detected in {language} suggestion", None
 
@@ -131,46 +141,67 @@ def validate_suggestions(df: DataFrame) -> DataFrame:
     return df.withColumn("_v", run("suggestion_code", "language", "line_start", "line_end")).select("*", "_v.*").drop("_v")
 
 
-def python_nodes(source: str) -> tuple[list[tuple[str, str, int, int]], list[str], bool]:
-    """(functions and classes, import lines, whether it has syntax errors) of Python source; rows from 0."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return [], [], True
+#: Languages whose files are read for functions, imports and errors.
+PARSED = ("python", *syntax.LANGUAGES)
+
+
+def python_nodes(source: str) -> tuple[list[tuple[str, str, int, int]], list[str], list[tuple[str, int]]]:
+    """(functions and classes, import lines, what is wrong) of Python source; rows from 0."""
+    tree = _tree(source)
+    if not isinstance(tree, ast.Module):
+        return [], [], [tree]
     kinds = {ast.FunctionDef: "function_definition", ast.AsyncFunctionDef: "function_definition", ast.ClassDef: "class_definition"}
     found = [(kinds[type(n)], n.name, n.lineno - 1, n.end_lineno - 1) for n in ast.walk(tree) if type(n) in kinds]
-    imports = [ast.get_source_segment(source, n) or "" for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom)]
-    return sorted(found, key=lambda n: (n[2], -n[3])), imports, False
+    lines = [n for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom)]
+    rows = source.splitlines(keepends=True) if lines else []
+    texts = ["".join(rows[n.lineno - 1 : n.end_lineno]).encode()[n.col_offset :] for n in sorted(lines, key=lambda n: (n.lineno, n.col_offset))]
+    ends = [n.end_col_offset - n.col_offset if n.lineno == n.end_lineno else None for n in sorted(lines, key=lambda n: (n.lineno, n.col_offset))]
+    return sorted(found, key=lambda n: (n[2], -n[3])), [t[:e].decode().strip() for t, e in zip(texts, ends, strict=True)], []
 
 
-def syntax_nodes(files: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Function and class nodes of Python files: …keys, file_path, node_type, name, start_row, end_row, node_ord.
+def file_syntax(source: str | None, language: str) -> tuple[list, list[str], list[tuple[str, int]]]:
+    """(nodes, import lines, errors) of a file of one of the PARSED languages."""
+    text = source or ""
+    return python_nodes(text) if language == "python" else (syntax.nodes(text, language), syntax.import_lines(text, language), syntax.errors(text, language))
 
-    A file that parses without any node gives one row whose node_ord is null, so ``parsed`` files stay known.
-    """
 
-    @F.pandas_udf("ok boolean, nodes array<struct<node_type:string,name:string,start_row:int,end_row:int>>")
-    def run(source: pd.Series) -> pd.DataFrame:
-        rows = [python_nodes(s or "") for s in source]
-        return pd.DataFrame({"ok": [not bad for _, _, bad in rows], "nodes": [[dict(zip(("node_type", "name", "start_row", "end_row"), n, strict=True)) for n in nodes] for nodes, _, _ in rows]})
+_NODE_FIELDS = ("node_type", "name", "start_row", "end_row")
+_SYNTAX = "nodes array<struct<node_type:string,name:string,start_row:int,end_row:int>>, imports array<string>, errors array<struct<what:string,row:int>>"
 
-    rows = files.where(C.chunk_language(F.col("file_path")) == "python").withColumn("p", run("content")).where("p.ok")
-    return rows.select(*keys, "file_path", F.posexplode_outer("p.nodes").alias("node_ord", "n")).select(*keys, "file_path", "n.*", "node_ord")
 
+def with_syntax(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """…keys, file_path, language and ``p`` (nodes, imports, errors) of files (file_path, content) whose language is read; one pass over each text."""
 
-def imports(files: DataFrame) -> DataFrame:
-    """Import statements of Python files."""
+    @F.pandas_udf(_SYNTAX)
+    def run(source: pd.Series, language: pd.Series) -> pd.DataFrame:
+        read = [file_syntax(*x) for x in zip(source, language, strict=True)]
+        return pd.DataFrame({
+            "nodes": [[dict(zip(_NODE_FIELDS, n, strict=True)) for n in nodes] for nodes, _, _ in read],
+            "imports": [lines for _, lines, _ in read],
+            "errors": [[{"what": w, "row": r} for w, r in wrong] for _, _, wrong in read],
+        })
 
-    @F.pandas_udf("array<string>")
-    def run(source: pd.Series) -> pd.Series:
-        return pd.Series([python_nodes(s or "")[1] for s in source])
+    rows = files.select(*keys, "file_path", C.chunk_language(F.col("file_path")).alias("language"), "content").where(F.col("language").isin(*PARSED))
+    return rows.withColumn("p", run("content", "language")).drop("content")
 
-    return files.select("file_path", F.posexplode(run("content")).alias("import_ord", "statement"))
 
+def syntax_nodes(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Function and class nodes of files without errors: …keys, file_path, node_type, name, start_row, end_row, node_ord.
+
+    A file that parses without any node gives one row whose node_ord is null, so ``parsed`` files stay known.
+    """
+    rows = with_syntax(files, keys).where(F.size("p.errors") == 0)
+    return rows.select(*keys, "file_path", F.posexplode_outer("p.nodes").alias("node_ord", "n")).select(*keys, "file_path", "n.*", "node_ord")
 
-def nodes_have_errors(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Whether any syntax node of a file is an error or missing (node_type, is_missing)."""
-    return nodes.groupBy(*keys).agg(F.bool_or((F.col("node_type") == "ERROR") | F.coalesce("is_missing", F.lit(False))).alias("has_errors"))
+
+def imports(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Import statements of files: …keys, file_path, import_ord, statement."""
+    return with_syntax(files, keys).select(*keys, "file_path", F.posexplode("p.imports").alias("import_ord", "statement"))
+
+
+def syntax_errors(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """What is wrong in files: …keys, file_path, error_ord, what, row; files without errors have no row."""
+    return with_syntax(files, keys).select(*keys, "file_path", F.posexplode("p.errors").alias("error_ord", "e")).select(*keys, "file_path", "error_ord", "e.what", "e.row")
 
 
 #: Longest part of each kind of text that goes into a prompt.
@@ -198,12 +229,3 @@ def stage_prompt(stage: str, **parts: Column) -> Column:
             text = F.coalesce(parts[piece], F.lit(""))
             out.append(F.substring(text, 1, PROMPT_LIMITS[piece]) if piece in PROMPT_LIMITS else text)
     return F.concat(*out)
-
-
-def prompt(template: str, **parts: tuple[str, str]) -> Column:
-    """A prompt from ``template`` with {name} slots; each part is (column, kind), cut to the kind's limit."""
-    out = F.lit(template)
-    for name, (column, kind) in parts.items():
-        cut = F.substring(F.coalesce(F.col(column), F.lit("")), 1, PROMPT_LIMITS.get(kind, 1 << 30))
-        out = F.replace(out, F.lit("{" + name + "}"), cut)
-    return out

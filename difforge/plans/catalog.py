@@ -797,6 +797,32 @@ def suggestion_checks(spark, sf):
     return models.validate_suggestions(d.select("doc_id", F.col("content").alias("suggestion_code"), F.lit("python").alias("language"), F.lit(1).alias("line_start"), (F.col("doc_id") % 9).cast("int").alias("line_end"))).select("doc_id", "is_valid", "error", "fixed_code")
 
 
+@query
+def syntax_table(spark, sf):
+    """UDF-4: functions and classes of a source in each of six languages that holds the whole content of a document in a comment and brackets in a text."""
+    return models.syntax_nodes(P.sources(spark, sf)).select("file_path", "node_type", "name", "start_row", "end_row", "node_ord")
+
+
+@query
+def import_table(spark, sf):
+    """UDF-5: import statements of the same sources."""
+    return models.imports(P.sources(spark, sf)).select("file_path", "import_ord", "statement")
+
+
+@query
+def syntax_marks(spark, sf):
+    """UDF-11: brackets without partner in the same sources, with some opened and some closed too often."""
+    return models.syntax_errors(P.sources(spark, sf, broken=True).where(~F.col("file_path").endswith(".py"))).select("file_path", "error_ord", "what", "row")
+
+
+@query
+def syntax_chunks(spark, sf):
+    """PRJ-26, PRJ-24: chunks of these sources; files that parse by function and class, the others by windows of lines."""
+    files = P.sources(spark, sf, broken=F.col("doc_id") % 4 == 0)
+    nodes = models.syntax_nodes(files)
+    return chunking.all_chunks(files, nodes.where("node_ord IS NOT NULL"), nodes).select("file_path", "chunk_type", "name", "start_line", "end_line")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import table
@@ -45,3 +45,25 @@ def diffs(spark: SparkSession, sf: str) -> DataFrame:
     first = F.concat(F.lit("\n@@ -1,10 +1,10 @@ start\n"), F.array_join(F.slice("m", 1, 10), "\n"))
     second = F.when(F.size("m") > 10, F.concat(F.lit("\n@@ -101 +201 @@\n"), F.array_join(F.slice("m", F.lit(11), F.size("m")), "\n"), F.lit("\n\\ No newline at end of file"))).otherwise("")
     return body.select(F.col("doc_id").alias("diff_id"), F.concat(head, first, second).alias("diff_text"))
+
+
+#: Sources around a comment; {c} is the content, {i} the document's id, {b} brackets that may lack a partner.
+SOURCES = {
+    "js": "import x{i} from 'm{i}';\n/*{c}*/\nfunction f{i}(a) {\n  return \"([{\";\n}\nclass K{i} { m(x) { return x; } }\n{b}",
+    "ts": "import {x{i}} from 'm{i}';\n/*{c}*/\nfunction f{i}(a: string): number {\n  return '([{';\n}\nclass K{i} { m(x: number) { return x; } }\n{b}",
+    "go": "import \"m{i}\"\n/*{c}*/\nfunc f{i}(a int) int {\n  return '{'\n}\nfunc (k K{i}) m(x int) int { return x }\n{b}",
+    "rs": "use m{i};\n/*{c}*/\nfn f{i}(a: &str) -> char {\n  return '{';\n}\nimpl K{i} { fn m(x: u8) -> u8 { x } }\n{b}",
+    "java": "import m{i};\n/*{c}*/\nclass K{i} {\n  String s = \"([{\";\n}\nclass L{i} { int m(int x) { return x; } }\n{b}",
+    "py": "import m{i}\n\"\"\"{c}\"\"\"\ndef f{i}(a):\n  return \"([{\"\n\nclass K{i}:\n  def m(x): return x\n{b}",
+}
+
+
+def sources(spark: SparkSession, sf: str, broken: Column | bool = False) -> DataFrame:
+    """Six files for each document: doc_id, file_path, content. ``broken``: where its id asks for it, a file opens or closes round brackets too often."""
+    d = documents(spark, sf)
+    calm = F.regexp_replace(F.coalesce("content", F.lit("")), r'[*/"\\\x00\r]', " ")
+    brackets = F.when(F.lit(broken) if isinstance(broken, bool) else broken, F.concat(F.repeat(F.lit("("), F.col("doc_id").cast("int") % 4), F.repeat(F.lit(")"), F.col("doc_id").cast("int") % 3))).otherwise("")
+    fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{i}"), F.col("doc_id").cast("string")), F.lit("{b}"), brackets), F.lit("{c}"), calm)
+    made = F.array(*(F.struct(F.lit(ext).alias("ext"), fill(t).alias("content")) for ext, t in SOURCES.items()))
+    rows = d.select("doc_id", F.explode(made).alias("s"))
+    return rows.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.col("s.ext")).alias("file_path"), "s.content")

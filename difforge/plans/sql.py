@@ -233,3 +233,29 @@ SELECT inst AS installation_id, repo AS repo_id, 'r' || repo AS repo_full_name,
     "cached_descriptions": f"""WITH {DIFF}, g AS (SELECT diff_id, hunk_ord, string_agg(content, chr(10) ORDER BY i) AS t FROM n WHERE line_type = 'added' GROUP BY ALL), q AS (SELECT diff_id, substr(arg_min(t, hunk_ord), 1, 500) AS t FROM g GROUP BY diff_id)
 SELECT diff_id, substr(sha256(t), 1, 16) < '8' AS hit, CASE WHEN substr(sha256(t), 1, 16) < '8' THEN 'known' ELSE substr(t, 1, 200) END AS description FROM q""",
 }
+
+#: The nodes of ``proxies.sources``: rows after the comment's own lines; names end in the document's id where ``own``.
+_NODES = """v AS (SELECT * FROM (VALUES ('js', 0, 'function_declaration', 'f', true, 2, 4), ('js', 1, 'class_declaration', 'K', true, 5, 5), ('js', 2, 'method_definition', 'm', false, 5, 5),
+    ('ts', 0, 'function_declaration', 'f', true, 2, 4), ('ts', 1, 'class_declaration', 'K', true, 5, 5), ('ts', 2, 'method_definition', 'm', false, 5, 5),
+    ('go', 0, 'function_declaration', 'f', true, 2, 4), ('go', 1, 'method_declaration', 'm', false, 5, 5),
+    ('rs', 0, 'function_item', 'f', true, 2, 4), ('rs', 1, 'impl_item', '<anonymous>', false, 5, 5), ('rs', 2, 'function_item', 'm', false, 5, 5),
+    ('java', 0, 'class_declaration', 'K', true, 2, 4), ('java', 1, 'class_declaration', 'L', true, 5, 5), ('java', 2, 'method_declaration', 'm', false, 5, 5),
+    ('py', 0, 'function_definition', 'f', true, 2, 3), ('py', 1, 'class_definition', 'K', true, 5, 6), ('py', 2, 'function_definition', 'm', false, 6, 6)) AS v(ext, node_ord, node_type, name, own, lo, hi)),
+  d AS (SELECT doc_id, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INT) AS nl FROM documents),
+  n AS (SELECT doc_id, nl, ext, 'd' || doc_id || '.' || ext AS file_path, node_type, name || CASE WHEN own THEN CAST(doc_id AS VARCHAR) ELSE '' END AS name, lo + nl AS start_row, hi + nl AS end_row, node_ord FROM d, v)"""
+_IMPORTS = "('js', 'import x{i} from ''m{i}'';'), ('ts', 'import {x{i}} from ''m{i}'';'), ('go', 'import \"m{i}\"'), ('go', '\"m{i}\"'), ('rs', 'use m{i};'), ('java', 'import m{i};'), ('py', 'import m{i}')"
+
+SQL |= {
+    "syntax_table": f"WITH {_NODES} SELECT file_path, node_type, name, start_row, end_row, node_ord FROM n",
+    "import_table": f"""WITH v AS (SELECT *, CAST(row_number() OVER (PARTITION BY ext ORDER BY length(s) DESC) - 1 AS INT) AS import_ord FROM (VALUES {_IMPORTS}) AS v(ext, s))
+SELECT 'd' || doc_id || '.' || ext AS file_path, import_ord, replace(s, '{{i}}', CAST(doc_id AS VARCHAR)) AS statement FROM documents, v""",
+    "syntax_marks": """WITH d AS (SELECT doc_id, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INT) AS nl, CAST(doc_id % 4 AS INT) AS a, CAST(doc_id % 3 AS INT) AS b FROM documents),
+  e AS (SELECT doc_id, nl, CASE WHEN a > b THEN '(' ELSE ')' END || ' without partner' AS what, unnest(range(0, abs(a - b))) AS i FROM d)
+SELECT 'd' || doc_id || '.' || ext AS file_path, CAST(i AS INT) AS error_ord, what, 6 + nl AS row FROM e, (VALUES ('js'), ('ts'), ('go'), ('rs'), ('java')) AS x(ext)""",
+    "syntax_chunks": f"""WITH {_NODES}, q AS (SELECT doc_id, nl, 'd' || doc_id || '.' || ext AS file_path, ext, doc_id % 4 = 0 AND doc_id % 3 <> 0 AS bad,
+    nl + 7 - CASE WHEN doc_id % 4 <> 0 OR doc_id % 3 = 0 THEN CASE WHEN ext = 'py' THEN 0 ELSE 1 END ELSE CASE WHEN ext = 'py' THEN -1 ELSE 0 END END AS lines FROM d, (SELECT DISTINCT ext FROM v)),
+  c AS (SELECT file_path, 'file_header' AS chunk_type, '<file_header>' AS name, 1 AS start_line, least(50, lines) AS end_line FROM q
+    UNION ALL SELECT file_path, 'window', '<window_' || pos // 80 || '>', pos + 1, least(pos + 100, lines) FROM (SELECT file_path, lines, unnest(range(0, lines, 80)) AS pos FROM q WHERE bad)
+    UNION ALL SELECT n.file_path, CASE WHEN node_type LIKE '%class%' THEN 'class' ELSE 'function' END, name, start_row + 1, end_row + 1 FROM n JOIN q ON q.file_path = n.file_path WHERE NOT bad)
+SELECT DISTINCT file_path, chunk_type, name, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM c""",
+}
