@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import models
 from ..operators import chunking, diff, findings, indexing, intervals, retrieval, reviews, routing
-from ..session import shared_dir
 from ..sources import readers, sinks
 from ..sources.readers import table
-from ..streaming import streams
+from ..streaming import expiring, streams
 from . import proxies as P
 from .sql import SQL
 
@@ -662,7 +660,7 @@ def vector_upsert(spark, sf):
 @query
 def kv_round_trip(spark, sf):
     """SNK-8, SRC-9: values put with an expiry and read back between two expiries."""
-    e, path = table(spark, sf, "events"), f"{shared_dir(spark)}/difforge-kv-{uuid.uuid4().hex}"
+    e, path = table(spark, sf, "events"), streams.folder_until_end(spark, "kv") + "/log"
     at = F.lit("2024-01-01").cast("timestamp")
     for kind, seconds in (("error", 60), ("click", 10)):
         sinks.kv_put(e.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), F.col("event_id").alias("value")), path, seconds, at)
@@ -771,7 +769,7 @@ def cached_descriptions(spark, sf):
 @query
 def route_stream(spark, sf):
     """§2.11, SRC-4: events replayed as a stream of deliveries, routed and logged batch by batch."""
-    root = f"{shared_dir(spark)}/difforge-stream-{uuid.uuid4().hex}"
+    root = streams.folder_until_end(spark, "routes")
 
     def deliveries(e: DataFrame) -> DataFrame:
         user = F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("login"))
@@ -797,6 +795,27 @@ def suggestion_checks(spark, sf):
     return models.validate_suggestions(d.select("doc_id", F.col("content").alias("suggestion_code"), F.lit("python").alias("language"), F.lit(1).alias("line_start"), (F.col("doc_id") % 9).cast("int").alias("line_end"))).select("doc_id", "is_valid", "error", "fixed_code")
 
 
+@query
+def kv_stream(spark, sf):
+    """SNK-8, SRC-9, §2.11: events as puts and gets of a cache on a stream of several batches; values expire after one or six hours."""
+    ops = P.cache_ops(spark, sf)
+    root = streams.folder_until_end(spark, "cache")
+    # Two late operations of their own key move the watermark past all others.
+    end = ops.agg(F.max("at").alias("at")).select(F.expr("explode(array(-1L, -2L))").alias("op_id"), (F.col("at") + F.expr("INTERVAL 100 DAYS")).alias("at"), F.lit("get").alias("kind"), F.lit("end").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("long").alias("seconds"))
+    ops.repartitionByRange(4, "at").write.parquet(f"{root}/ops")
+    for _ in range(2):
+        end.coalesce(1).write.mode("append").parquet(f"{root}/ops")
+    got = expiring.cache_stream(streams.file_stream(spark, f"{root}/ops", expiring.OPS, per_trigger=1), "40 days")
+    streams.write_batches(got, streams.log_sink(f"{root}/out"), f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(expiring.ANSWERS).parquet(f"{root}/out").where("op_id >= 0").select("op_id", "key", "value")
+
+
+@query
+def kv_answers(spark, sf):
+    """SNK-8, SRC-9: the same puts and gets as a batch, by one window."""
+    return expiring.cache_answers(P.cache_ops(spark, sf))
+
+
 @query
 def syntax_table(spark, sf):
     """UDF-4: functions and classes of a source in each of six languages that holds the whole content of a document in a comment and brackets in a text."""

@@ -67,3 +67,13 @@ def sources(spark: SparkSession, sf: str, broken: Column | bool = False) -> Data
     made = F.array(*(F.struct(F.lit(ext).alias("ext"), fill(t).alias("content")) for ext, t in SOURCES.items()))
     rows = d.select("doc_id", F.explode(made).alias("s"))
     return rows.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.col("s.ext")).alias("file_path"), "s.content")
+
+
+def cache_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as operations on a cache: views and errors get, the others put; forty keys."""
+    put = F.col("event_type").isin("signup", "purchase", "click")
+    seconds = F.when(F.col("event_type") == "click", 3600).otherwise(6 * 3600).cast("long")
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("op_id"), F.col("ts").cast("timestamp").alias("at"), F.when(put, "put").otherwise("get").alias("kind"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("key"),
+        F.when(put, F.col("props")).alias("value"), F.when(put, seconds).alias("seconds"),
+    )

@@ -259,3 +259,8 @@ SELECT 'd' || doc_id || '.' || ext AS file_path, CAST(i AS INT) AS error_ord, wh
     UNION ALL SELECT n.file_path, CASE WHEN node_type LIKE '%class%' THEN 'class' ELSE 'function' END, name, start_row + 1, end_row + 1 FROM n JOIN q ON q.file_path = n.file_path WHERE NOT bad)
 SELECT DISTINCT file_path, chunk_type, name, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM c""",
 }
+_CACHE = """WITH o AS (SELECT event_id, ts, 'u' || user_id % 40 AS key, props, CASE event_type WHEN 'click' THEN 1 WHEN 'signup' THEN 6 WHEN 'purchase' THEN 6 END AS h FROM events),
+  p AS (SELECT *, last_value(CASE WHEN h IS NOT NULL THEN {'v': props, 'u': ts + to_hours(h)} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id) AS l FROM o)
+SELECT event_id AS op_id, key, CASE WHEN l.u > ts THEN l.v END AS value FROM p WHERE h IS NULL"""
+
+SQL |= {"kv_stream": _CACHE, "kv_answers": _CACHE}

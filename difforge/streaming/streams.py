@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.indexing import latest
 from ..operators.routing import event_route, gatekeeper
+from ..session import shared_dir
 from ..sources.readers import pr_events
 
 
+def folder_until_end(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints that goes when the application ends."""
+    root = f"{shared_dir(spark)}/difforge-{name}-{uuid.uuid4().hex[:12]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return root
+
+
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None, fmt: str = "parquet", per_trigger: int = 100) -> DataFrame:
     """A stream of files; ``glob`` picks them from a mixed folder, ``per_trigger`` bounds a batch."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
