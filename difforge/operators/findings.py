@@ -6,6 +6,9 @@ suggestion_code, confidence); ``ord`` is its place in input order, which ties ar
 
 from __future__ import annotations
 
+import bisect
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,21 +140,62 @@ def passing(findings: DataFrame, threshold: Column) -> DataFrame:
     return findings.where((F.col("diff_position") > 0) & (C.severity_rank(F.col("severity")) <= C.threshold_rank(threshold)))
 
 
+def islands(findings: DataFrame, keys: list[str], tolerance: int = V.LINE_TOLERANCE) -> DataFrame:
+    """Adds _island: findings of a key in different islands never overlap, as no range before reaches the next island's first line."""
+    top = F.greatest("line_start", "line_end")
+    order = Window.partitionBy(*keys).orderBy("line_start", "ord")
+    reach = F.max(top).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce(F.col("line_start") - tolerance > F.col("_reach"), F.lit(True))
+    return findings.withColumn("_reach", reach).withColumn("_island", F.sum(starts.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach")
+
+
+def _seeds(keys: list[str], tolerance: int):
+    """Adds seed_ord to rows sorted by (keys, _island, ord).
+
+    Seeds of an island don't overlap, so they stay sorted by line; only they are held. Ranges that end before they begin are kept apart.
+    """
+
+    def run(batches):
+        last, starts, ends, ords, odd = None, [], [], [], []
+        for b in batches:
+            group = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (*keys, "_island")), strict=True))
+            lo, hi, ord_ = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("line_start", "line_end", "ord"))
+            out = []
+            for g, x, y, o in zip(group, lo, hi, ord_, strict=True):
+                if g != last:
+                    last, starts, ends, ords, odd = g, [], [], [], []
+                if x is None or y is None:  # meets nothing
+                    out.append(o)
+                    continue
+                i, first = bisect.bisect_left(ends, x - tolerance), next((s for a, b_, s in odd if a <= y + tolerance and b_ >= x - tolerance), None)
+                while i < len(starts) and starts[i] <= y + tolerance:
+                    first = ords[i] if first is None or ords[i] < first else first
+                    i += 1
+                if first is None and y < x:
+                    odd.append((x, y, o))
+                    first = o
+                if first is None:
+                    i = bisect.bisect_left(starts, x)
+                    starts.insert(i, x)
+                    ends.insert(i, y)
+                    ords.insert(i, o)
+                    first = o
+                out.append(first)
+            yield b.append_column("seed_ord", pa.array(out, pa.int64()))
+
+    return run
+
+
 def merge_overlapping(findings: DataFrame, keys: list[str], rank: str = "rank", tolerance: int = V.LINE_TOLERANCE) -> DataFrame:
     """The best finding of each group of overlapping ones, with the group's ``seed_ord``.
 
-    In input order, a finding joins the earliest seed it overlaps, else becomes a seed itself. That fold runs over one file's
-    rows at a time; the best has the lowest rank, then the highest confidence, then the lowest ord.
+    In input order, a finding joins the earliest seed it overlaps, else becomes a seed itself. The fold runs over one island of a
+    file at a time, as a stream, and holds the island's seeds only; the best has the lowest rank, then the highest confidence, then the lowest ord.
     """
-    rows = findings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "line_start", "line_end"))).alias("rows"))
-    meets = lambda s, r: C.ranges_overlap(s["line_start"], s["line_end"], r["line_start"], r["line_end"], tolerance)
-    kind = findings.select("ord", "line_start", "line_end").schema.simpleString()
-    none = F.array().cast(f"array<{kind}>")
-    seeds = F.aggregate("rows", none, lambda acc, r: F.when(F.exists(acc, lambda s: meets(s, r)), acc).otherwise(F.concat(acc, F.array(r))))
-    rows = rows.withColumn("seeds", seeds).select(*keys, "seeds", F.explode("rows").alias("r"))
-    seed = F.filter("seeds", lambda s: meets(s, F.col("r")))[0]["ord"]
-    rows = rows.select(*keys, F.col("r.ord").alias("ord"), seed.alias("seed_ord"))
-    both = findings.join(rows, [*keys, "ord"])
+    rows = islands(findings.withColumn("ord", F.col("ord").cast("long")), keys, tolerance)
+    rows = rows.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "ord")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    both = rows.mapInArrow(_seeds(keys, tolerance), fields + ", seed_ord long").drop("_island")
     w = Window.partitionBy(*keys, "seed_ord").orderBy(rank, F.desc("confidence"), "ord")
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -99,6 +99,39 @@ def rate_limited(calls: DataFrame, key: str, ts: str, limit: int = 30, seconds:
     return calls.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("over_limit", F.col("in_window") > limit)
 
 
+def numbered(df: DataFrame, key: str, at: Column, row_id: str, span: int, out: str) -> DataFrame:
+    """Adds ``out``: gapless numbers from 0 in each key by (``at``, ``row_id``), without a whole key in one task.
+
+    Rows are numbered inside cells of ``span`` of ``at``; how many a key's earlier cells hold is added. Adds ``_cell`` too.
+    """
+    rows = df.withColumn("_cell", F.floor(at / span))
+    held = rows.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(key, "_cell").orderBy(at, row_id)) - 1
+    return rows.withColumn("_inside", inside).join(held, [key, "_cell"]).withColumn(out, F.col("_inside") + F.col("_before")).drop("_inside", "_before")
+
+
+def admitted(calls: DataFrame, key: str, ts: str, row_id: str, limit: int = 30, seconds: int = 60) -> DataFrame:
+    """Adds admitted_at: when each call of a key goes out if never more than ``limit`` do within ``seconds``, in order of (``ts``, ``row_id``).
+
+    A call waits for its own time and until ``seconds`` after the one ``limit`` places before it went out: a(i) = max(t(i), a(i - limit) + w).
+    Along places of equal remainder by ``limit`` that is a running maximum of t(i) - w * (i div limit), so the schedule needs
+    no state and no loop: a hot key is split by remainder and by time cell, with the maxima of earlier cells added.
+    """
+    at, wait = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    span = 64 * wait
+    rows = numbered(calls, key, at, row_id, span, "_i").withColumn("_lane", F.col("_i") % limit)
+    slack = at - F.floor(F.col("_i") / limit) * wait
+    tops = rows.groupBy(key, "_lane", "_cell").agg(F.max(slack).alias("_top"))
+    earlier = Window.partitionBy(key, "_lane").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_carried", F.max("_top").over(earlier)).drop("_top")
+    inside = Window.partitionBy(key, "_lane", "_cell").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_most", F.max(slack).over(inside)).join(tops, [key, "_lane", "_cell"])
+    out = F.timestamp_micros(F.greatest("_most", "_carried") + F.floor(F.col("_i") / limit) * wait)
+    return rows.withColumn("admitted_at", out).drop("_i", "_lane", "_cell", "_most", "_carried")
+
+
 def soft_delete(table: DataFrame, keys: DataFrame, key: str, **values) -> DataFrame:
     """Sets columns of the rows that ``keys`` names; unknown keys change nothing."""
     hit = keys.select(key, F.lit(True).alias("_hit")).distinct()

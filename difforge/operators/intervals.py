@@ -1,7 +1,9 @@
 """Nearest-key and interval joins on lines of files.
 
-Every join has the file (and whatever ``keys`` says) as an equality key. Interval joins also cut lines into cells, so that a long
-file's rows spread over tasks instead of meeting in one.
+Every join has the file (and whatever ``keys`` says) as an equality key. Interval joins also cut lines into cells of CELL lines, so that a
+long file's rows spread over tasks. A range is covered by dyadic runs of cells, 2^level each, at most two a level, so the longest
+range makes some dozens of rows; a point is looked up on those levels only that some range uses. Two ranges overlap where one begins inside
+the other, so an overlap join is two joins of points with ranges.
 """
 
 from __future__ import annotations
@@ -27,17 +29,44 @@ def nearest_position(probes: DataFrame, positions: DataFrame, keys: list[str], l
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_try", "_off")
 
 
-def _cells(lo: Column, hi: Column) -> Column:
-    return F.explode(F.sequence(F.floor(lo / CELL), F.floor(F.greatest(lo, hi) / CELL)))
+def covering(lo: Column, hi: Column) -> Column:
+    """(level, cell) of the dyadic runs of cells that cover lo to hi."""
+    first, past = F.floor(lo / CELL), F.floor(F.greatest(lo, hi) / CELL) + 1
+    side = lambda k: F.pow(F.lit(2.0), k)
+
+    def runs(k: Column) -> Column:
+        left, right = F.ceil(first / side(k)), F.floor(past / side(k))
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        run = lambda x: F.struct(k.alias("level"), x.alias("cell"))
+        mine = F.when(odd(left) & (left < right), run(left))
+        theirs = F.when(odd(right) & (left + F.pmod(left, F.lit(2)) < right), run(right - 1))
+        return F.array_compact(F.array(mine, theirs))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2(past - first)).cast("int")), runs))
+
+
+def _points_in(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of a point (…keys, _at, and more) and a range (…keys, _from, _to, and more) that may hold it: they share a run of cells."""
+    r = ranges.withColumn("_run", F.explode(covering(F.col("_from"), F.col("_to"))))
+    used = ranges.select(F.explode(covering(F.col("_from"), F.col("_to"))["level"]).alias("level")).agg(F.collect_set("level")).scalar()
+    at = F.floor(F.col("_at") / CELL)
+    levels = points.withColumn("_level", F.explode(used))
+    p = levels.withColumn("_run", F.struct(F.col("_level").alias("level"), F.floor(at / F.pow(F.lit(2.0), F.col("_level"))).alias("cell"))).drop("_level")
+    return p.join(r, [*keys, "_run"]).drop("_run")
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
+    """_id of rows of ``left`` whose [_lo, _hi] meets any [_lo, _hi] of ``right`` within ``tolerance``."""
+    a = left.select("_id", *keys, "_lo", "_hi")
+    b = right.select(*keys, (F.col("_lo") - tolerance).alias("_rlo"), (F.col("_hi") + tolerance).alias("_rhi"))
+    begins = _points_in(a.withColumn("_at", F.col("_lo")), b.withColumns({"_from": F.col("_rlo"), "_to": F.col("_rhi")}), keys)
+    holds = _points_in(b.withColumn("_at", F.col("_rlo")), a.withColumns({"_from": F.col("_lo"), "_to": F.col("_hi")}), keys)
+    meets = (F.col("_lo") <= F.col("_rhi")) & (F.col("_hi") >= F.col("_rlo"))
+    return begins.where(meets).select("_id").union(holds.where(meets).select("_id")).distinct()
 
 
 def _cell_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, how: str) -> DataFrame:
-    """Rows of ``left`` by _id whose [lo, hi] meets, or doesn't, any [lo, hi] of ``right`` within ``tolerance``."""
-    a = left.select("_id", *keys, "_lo", "_hi", _cells(F.col("_lo"), F.col("_hi")).alias("_cell"))
-    b = right.select(*keys, F.col("_lo").alias("_rlo"), F.col("_hi").alias("_rhi"), _cells(F.col("_lo") - tolerance, F.col("_hi") + tolerance).alias("_cell"))
-    cond = [a[k] == b[k] for k in keys] + [a["_cell"] == b["_cell"], a["_lo"] <= b["_rhi"] + tolerance, a["_hi"] >= b["_rlo"] - tolerance]
-    met = a.join(b, cond, "left_semi").select("_id").distinct()
-    return left.join(met, "_id", how).drop("_id", "_lo", "_hi")
+    return left.join(_met(left, right, keys, tolerance), "_id", how).drop("_id", "_lo", "_hi")
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], row_id: str, tolerance: int = 0) -> DataFrame:
@@ -55,20 +84,20 @@ def not_covered(left: DataFrame, right: DataFrame, keys: list[str], left_range:
 def same_range(ranges: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
     """Adds same_hunk: whether both ends of (line_start, line_end) lie in one hunk (hunk_start, hunk_end). Needs a unique ``probe_id``.
 
-    A hunk that holds the range holds its first line, so the cell of that line is a key.
+    A hunk that holds the range holds its first line.
     """
-    a = ranges.select("probe_id", *keys, "line_start", "line_end", F.floor(F.col("line_start") / CELL).alias("_cell"))
-    b = outer.select(*keys, "hunk_start", "hunk_end", _cells(F.col("hunk_start"), F.col("hunk_end")).alias("_cell"))
-    inside = a.join(b, [*[a[k] == b[k] for k in keys], a["_cell"] == b["_cell"], a["line_start"] >= b["hunk_start"], a["line_end"] <= b["hunk_end"]], "left_semi")
-    return ranges.join(inside.select("probe_id", F.lit(True).alias("same_hunk")), "probe_id", "left").withColumn("same_hunk", F.coalesce("same_hunk", F.lit(False)))
+    a = ranges.select("probe_id", *keys, F.col("line_start").alias("_at"), F.col("line_end").alias("_end"))
+    b = outer.select(*keys, F.col("hunk_start").alias("_from"), F.col("hunk_end").alias("_to"))
+    inside = _points_in(a, b, keys).where("_at >= _from AND _end <= _to").select("probe_id", F.lit(True).alias("same_hunk")).distinct()
+    return ranges.join(inside, "probe_id", "left").withColumn("same_hunk", F.coalesce("same_hunk", F.lit(False)))
 
 
 def innermost(points: DataFrame, nodes: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """Adds the name of the innermost node (start_line, end_line, name) around each point; null outside all. Needs a unique ``probe_id``."""
-    p = points.select("probe_id", *keys, F.col(line).alias("_at"), F.floor(F.col(line) / CELL).alias("_cell"))
-    n = nodes.select(*keys, "start_line", "end_line", "name", _cells(F.col("start_line"), F.col("end_line")).alias("_cell"))
-    hits = p.join(n, [*keys, "_cell"]).where("start_line <= _at AND _at <= end_line")
-    best = hits.groupBy("probe_id").agg(F.max_by("name", F.struct("start_line", -F.col("end_line"))).alias("enclosing"))
+    p = points.select("probe_id", *keys, F.col(line).alias("_at"))
+    n = nodes.select(*keys, F.col("start_line").alias("_from"), F.col("end_line").alias("_to"), "name")
+    hits = _points_in(p, n, keys).where("_from <= _at AND _at <= _to")
+    best = hits.groupBy("probe_id").agg(F.max_by("name", F.struct("_from", -F.col("_to"))).alias("enclosing"))
     return points.join(best, "probe_id", "left")
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import columns as C
 from ..functions import values as V
@@ -15,21 +20,90 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column | str, out: str
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def similar_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float = V.SCORE_THRESHOLD, exclude: str | None = None) -> DataFrame:
+#: Vectors of one side that meet in a task.
+BLOCK = 2048
+#: A matrix product may differ this much from the exact cosine; candidates within it are computed again, exactly.
+SLACK = 1e-9
+
+
+def _blocks(df: DataFrame, row_id: str, size: int, out: str) -> DataFrame:
+    """Adds ``out``, the row's block of its repository, and ``_of``, how many there are; blocks hold ``size`` rows on average."""
+    df = df.withColumn("_repo", F.concat(F.col("repo_id").cast("string")))  # a column of its own, as both sides may stem from one table
+    many = df.groupBy("_repo").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_of"))
+    return df.join(many, "_repo").withColumn(out, F.pmod(F.xxhash64(row_id), F.col("_of")).cast("int"))
+
+
+def _matrix(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors as rows, their norms, which take part); null, zero, short or non-finite ones don't."""
+    held = [None if v is None or any(x is None for x in v) else np.asarray(v, np.float64) for v in column.to_pylist()]
+    dim = max((len(v) for v in held if v is not None), default=0)
+    ok = np.array([v is not None and len(v) == dim and dim > 0 and bool(np.isfinite(v).all()) and bool(v.any()) for v in held], bool)
+    m = np.stack([v if k else np.ones(dim) for v, k in zip(held, ok, strict=True)]) if len(held) else np.zeros((0, dim))
+    return m, np.sqrt(_in_order(m * m)), ok
+
+
+def _in_order(products: np.ndarray) -> np.ndarray:
+    """Sums of rows from first to last, whatever the shape."""
+    return np.cumsum(products, axis=1)[:, -1] if products.size else np.zeros(len(products))
+
+
+def _block_top(k: int, threshold: float, fields: pa.Schema):
+    """The best ``k`` chunks of one block for each query of one block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.Table.from_batches([], fields)
+        if not left.num_rows or not right.num_rows:
+            return none
+        q, qn, q_ok = _matrix(left.column("vector"))
+        c, cn, c_ok = _matrix(right.column("embedding"))
+        if q.shape[1] != c.shape[1]:
+            return none
+        near = (q @ c.T) / (qn[:, None] * cn[None, :])
+        near[~q_ok], near[:, ~c_ok] = -np.inf, -np.inf
+        if "exclude" in left.column_names:
+            at: dict = {}
+            for i, path in enumerate(right.column("file_path").to_pylist()):
+                at.setdefault(path, []).append(i)
+            for i, paths in enumerate(left.column("exclude").to_pylist()):
+                near[i, [x for p in paths or () for x in at.get(p, ())]] = -np.inf
+        best = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+        qi, ci = np.nonzero((near >= np.maximum(best, threshold)[:, None] - SLACK) & np.isfinite(near))
+        exact = np.concatenate([np.zeros(0), *(_in_order(q[qi[i : i + BLOCK]] * c[ci[i : i + BLOCK]]) for i in range(0, len(qi), BLOCK))]) / (qn[qi] * cn[ci])
+        ok = exact >= threshold
+        qi, ci, exact = qi[ok], ci[ok], exact[ok]
+        rank = np.empty(right.num_rows, np.int64)
+        rank[pc.sort_indices(right.column("chunk_id")).to_numpy()] = np.arange(right.num_rows)
+        order = np.lexsort((rank[ci], -exact, qi))
+        qi, ci, exact = qi[order], ci[order], exact[order]
+        first = np.searchsorted(qi, qi)
+        keep = np.arange(len(qi)) - first < k
+        qi, ci = pa.array(qi[keep]), pa.array(ci[keep])
+        cols = {"query_id": left.column("query_id").take(qi), "_cos": pa.array(exact[keep])}
+        cols |= {f.name: right.column(f.name).take(ci) for f in fields if f.name not in cols}
+        return pa.table([cols[f.name].cast(f.type) for f in fields], schema=fields)
+
+    return run
+
+
+def similar_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold: float = V.SCORE_THRESHOLD, exclude: str | None = None, block: int = BLOCK) -> DataFrame:
     """Top ``k`` chunks of the query's own repository by cosine, at or over ``threshold``.
 
-    queries: query_id, repo_id, vector (and ``exclude``, an array of file paths); chunks: repo_id, chunk_id, embedding,
-    file_path if ``exclude`` is given. Threshold and rank are by the exact cosine; ``score`` shows six digits of it. Norms are
-    taken once for each vector; the filter precedes the ranking, and each task ranks before the shuffle.
+    queries: query_id, repo_id, vector (and ``exclude``, an array of file paths); chunks: repo_id, chunk_id, embedding and whatever is
+    to come along, file_path if ``exclude`` is given. Both sides of a repository are cut into blocks and each pair of blocks meets in one
+    task as a matrix product, of which at most ``k`` rows a query go on to the merge. Threshold and rank are by the exact
+    cosine, summed in order; ``score`` shows six digits of it. Vectors that are null, zero, non-finite or of another length take no part.
     """
-    norm = lambda v: F.sqrt(C.dot(F.col(v), F.col(v)))
-    q = queries.select("query_id", "repo_id", F.col("vector").alias("qv"), norm("vector").alias("qn"), *([exclude] if exclude else []))
-    c = chunks.withColumnRenamed("embedding", "cv").withColumn("cn", norm("cv"))
-    hits = q.join(c, "repo_id")
-    if exclude:
-        hits = hits.where(~F.coalesce(F.array_contains(exclude, F.col("file_path")), F.lit(False)))
-    hits = hits.withColumn("_cos", C.dot(F.col("qv"), F.col("cv")) / (F.col("qn") * F.col("cn"))).where(F.col("_cos") >= threshold)
-    best = top_k(hits.drop("qv", "cv", "qn", "cn"), ["query_id"], k, F.desc("_cos"), "chunk_id")
+    q = queries.select("query_id", "repo_id", "vector", *([F.col(exclude).alias("exclude")] if exclude else []))
+    q, c = _blocks(q, "query_id", block, "_q"), _blocks(chunks, "chunk_id", block, "_c")
+    across = lambda df, own, other, n: df.drop("_of").join(n, "_repo").withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    n_q, n_c = (df.groupBy("_repo").agg(F.max("_of").alias("_n")) for df in (q, c))
+    pairs = ["_repo", "_q", "_c"]
+    kept = [f for f in chunks.schema if f.name != "embedding"]
+    names = ["query_id", "_cos", *(f.name for f in kept)]
+    schema = T.StructType([queries.schema["query_id"], T.StructField("_cos", T.DoubleType()), *kept])
+    fields = to_arrow_schema(schema)
+    hits = across(q, "_q", "_c", n_c).groupBy(*pairs).cogroup(across(c, "_c", "_q", n_q).groupBy(*pairs)).applyInArrow(_block_top(k, threshold, fields), schema)
+    best = top_k(hits.select(*names), ["query_id"], k, F.desc("_cos"), "chunk_id")
     return best.withColumn("score", F.round("_cos", 6)).drop("_cos")
 
 

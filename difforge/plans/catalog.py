@@ -476,6 +476,15 @@ def rate_limit(spark, sf):
     return indexing.rate_limited(e, "user_id", "ts", 2, 6 * 3600).select("event_id", "in_window", "over_limit")
 
 
+@query
+def admission(spark, sf):
+    """WIN-8: when the calls of seven keys go out, at most three within an hour."""
+    e = table(spark, sf, "events").withColumn("key", F.col("user_id") % 7)
+    rows = indexing.admitted(e, "key", "ts", "event_id", 3, 3600)
+    at = F.unix_micros("admitted_at")
+    return rows.select("event_id", at.alias("admitted_us"), (at - F.unix_micros(F.col("ts").cast("timestamp"))).alias("waited_us"))
+
+
 @query
 def tree_listing(spark, sf):
     """SRC-3, SRC-2: files of a listing joined to their content."""

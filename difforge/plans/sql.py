@@ -264,3 +264,9 @@ _CACHE = """WITH o AS (SELECT event_id, ts, 'u' || user_id % 40 AS key, props, C
 SELECT event_id AS op_id, key, CASE WHEN l.u > ts THEN l.v END AS value FROM p WHERE h IS NULL"""
 
 SQL |= {"kv_stream": _CACHE, "kv_answers": _CACHE}
+
+SQL |= {
+    "admission": """WITH r AS (SELECT event_id, user_id % 7 AS key, ts, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) - 1 AS i FROM events),
+  m AS (SELECT *, max(epoch_us(ts) - (i // 3) * 3600000000) OVER (PARTITION BY key, i % 3 ORDER BY i) + (i // 3) * 3600000000 AS a FROM r)
+SELECT event_id, a AS admitted_us, a - epoch_us(ts) AS waited_us FROM m""",
+}

@@ -360,7 +360,7 @@ def test_completion(spark):
 
 @pytest.mark.parametrize(
     ("code", "lang", "span", "want"),
-    [("x = 1", "python", (0, 0), True), ("    x = 1\n    y = 2", "python", (0, 0), True), ("return x", "python", (0, 0), True), ("x = (", "python", (0, 0), False), ("x = (", "go", (0, 0), True), ("  ", "go", (0, 0), False), ("a\nb", "go", (1, 9), False)],
+    [("x = 1", "python", (0, 0), True), ("    x = 1\n    y = 2", "python", (0, 0), True), ("return x", "python", (0, 0), True), ("x = (", "python", (0, 0), False), ("x = (", "go", (0, 0), False), ("x = (", "ruby", (0, 0), True), ("  ", "go", (0, 0), False), ("a\nb", "go", (1, 9), False)],
 )
 def test_suggestions(code, lang, span, want):
     assert models.check_suggestion(code, lang, *span)[0] is want
