@@ -28,7 +28,7 @@ SLACK = 1e-9
 
 def _blocks(df: DataFrame, row_id: str, size: int, out: str) -> DataFrame:
     """Adds ``out``, the row's block of its repository, and ``_of``, how many there are; blocks hold ``size`` rows on average."""
-    df = df.withColumn("_repo", F.concat(F.col("repo_id").cast("string")))  # a column of its own, as both sides may stem from one table
+    df = df.withColumn("_repo", F.col("repo_id"))
     many = df.groupBy("_repo").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_of"))
     return df.join(many, "_repo").withColumn(out, F.pmod(F.xxhash64(row_id), F.col("_of")).cast("int"))
 
@@ -94,11 +94,12 @@ def similar_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold:
     cosine, summed in order; ``score`` shows six digits of it. Vectors that are null, zero, non-finite or of another length take no part.
     """
     q = queries.select("query_id", "repo_id", "vector", *([F.col(exclude).alias("exclude")] if exclude else []))
-    q, c = _blocks(q, "query_id", block, "_q"), _blocks(chunks, "chunk_id", block, "_c")
+    q, c = _blocks(q, "query_id", block, "_q").drop("repo_id"), _blocks(chunks, "chunk_id", block, "_c")
+    q = q.select(*(F.col(x).alias(x) for x in q.columns))  # columns of their own, as both sides may stem from one table
     across = lambda df, own, other, n: df.drop("_of").join(n, "_repo").withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     n_q, n_c = (df.groupBy("_repo").agg(F.max("_of").alias("_n")) for df in (q, c))
     pairs = ["_repo", "_q", "_c"]
-    kept = [f for f in chunks.schema if f.name != "embedding"]
+    kept = [f for f in chunks.schema if f.name != "embedding"]  # repo_id among them
     names = ["query_id", "_cos", *(f.name for f in kept)]
     schema = T.StructType([queries.schema["query_id"], T.StructField("_cos", T.DoubleType()), *kept])
     fields = to_arrow_schema(schema)
