@@ -1,10 +1,17 @@
 """Unified diffs as typed line tables.
 
-All operators take and give flat rows keyed by (diff_id, file_ord, hunk_ord, line_ord). Windows are partitioned by diff.
+All operators take and give flat rows keyed by (diff_id, file_ord, hunk_ord, line_ord). A diff is one row, so its lines are numbered where it is
+read: the lines of an Arrow batch of diffs are one array, and files, hunks and positions are running counts over it, less the count where
+the stretch began. No line is shuffled for it.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +25,81 @@ def segment(lines: DataFrame, keys: list[str], order: str, starts: Column, out:
     return lines.withColumn(out, F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(w).cast("int"))
 
 
+_LINES = "line_ord int, text string, file_ord int, hunk_ord int, is_header boolean, line_type string, old_lineno int, new_lineno int, diff_position int, filename string"
+_HEADER = re.compile(V.HUNK_HEADER)
+
+
+def _start(digits: str) -> int:
+    return n if (n := int(digits)) < 1 << 31 else 1
+
+
+def _number_lines(batches):
+    """Every line of a file of every diff: its file, hunk and position; line_type is null where a line takes no position."""
+    for b in batches:
+        lists = pc.split_pattern(b.column(1), "\n")
+        flat, first = lists.flatten(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        n = len(flat)
+        at = np.arange(n)
+        row = np.repeat(np.arange(b.num_rows), np.diff(first))
+        starts = lambda x: pc.starts_with(flat, x).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        ats = starts("@@")
+        header = np.zeros(n, bool)
+        old_start, new_start = np.ones(n, np.int64), np.ones(n, np.int64)
+        for i in np.flatnonzero(ats):
+            if m := _HEADER.match(flat[int(i)].as_py()):
+                header[i], old_start[i], new_start[i] = True, _start(m[1]), _start(m[3])
+        is_file = starts("diff --git ")
+        latest = lambda flags: np.maximum.accumulate(np.where(flags, at, -1)) if n else at  # noqa: B023, E731
+        file_at = latest(is_file)
+        inside = file_at >= first[row]
+        count = lambda flags: np.cumsum(flags)
+        since = lambda total, begin: total - total[np.maximum(begin, 0)]
+        files = count(is_file)
+        file_ord = np.where(inside, files - (files - is_file)[np.minimum(first[row], max(n - 1, 0))], 0)
+        hunk_ord = np.where(inside, since(count(header), file_at), 0)
+        plus, minus = starts("+"), starts("-")
+        empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)
+        counted = inside & (hunk_ord > 0) & (header | ~(ats | empty | starts("\\ No newline at end of file")))
+        kind = np.select([~counted, header, plus, minus], [0, 1, 2, 3], 4)
+        hunk_at = latest(header)
+        old = np.where((kind == 3) | (kind == 4), old_start[np.maximum(hunk_at, 0)] - 1 + since(count((kind == 3) | (kind == 4)), hunk_at), -1)
+        new = np.where((kind == 2) | (kind == 4), new_start[np.maximum(hunk_at, 0)] - 1 + since(count((kind == 2) | (kind == 4)), hunk_at), -1)
+        position = since(count(counted), file_at)
+
+        # A file's name: its last +++ line before the first hunk, unless a mark of a new file stands before that; else its first line's.
+        meta = inside & (hunk_ord == 0)
+        named = np.full(n, -1)
+        for i in np.flatnonzero(meta & starts("+++ b/")):
+            named[file_at[i]] = i
+        fresh = np.full(n, n)
+        for i in np.flatnonzero(meta & (starts("new file mode") | pc.equal(flat, "--- /dev/null").to_numpy(zero_copy_only=False)))[::-1]:
+            fresh[file_at[i]] = i
+        names = {}
+        for i in np.flatnonzero(is_file):
+            text = flat[int(i)].as_py()
+            if named[i] >= 0 and fresh[i] > named[i]:
+                names[i] = flat[int(named[i])].as_py()[6:]
+            else:
+                names[i] = m[2] if (m := re.match(r"diff --git a/(.*) b/(.*)$", text)) else text
+        keep = np.flatnonzero(inside)
+        ids = list(names)
+        which = np.searchsorted(ids, file_at[keep]) if ids else keep
+        int32 = lambda x, ok: pa.array(x[keep].astype(np.int32), mask=~ok[keep])  # noqa: B023, E731
+        yes = np.ones(n, bool)
+        yield pa.record_batch(
+            [
+                b.column(0).take(pa.array(row[keep])), int32(at - first[row], yes), flat.take(pa.array(keep)).cast(pa.string()), int32(file_ord, yes), int32(hunk_ord, yes), pa.array(header[keep]),
+                pa.array(np.array([None, "header", "added", "removed", "context"], object)[kind[keep]], pa.string()), int32(old, old >= 0), int32(new, new >= 0), int32(position, counted),
+                pa.array(list(names.values()), pa.string()).take(pa.array(which)),
+            ],
+            names=["diff_id", *(f.split(" ")[0] for f in _LINES.split(", "))],
+        )
+
+
 def raw_lines(diffs: DataFrame) -> DataFrame:
-    """diff_id, line_ord, text, file_ord, hunk_ord and header fields of each line that belongs to a file."""
-    text = C.unix_lines(F.col("diff_text"))
-    some = diffs.where(F.col("diff_text").rlike(r"\S"))
-    lines = some.select("diff_id", F.posexplode(F.split(text, "\n")).alias("line_ord", "text"))
-    lines = segment(lines, ["diff_id"], "line_ord", F.col("text").startswith("diff --git "), "file_ord").where("file_ord > 0")
-    head = F.col("text").rlike(V.HUNK_HEADER)
-    lines = segment(lines.withColumn("is_header", head), ["diff_id", "file_ord"], "line_ord", F.col("is_header"), "hunk_ord")
-    return lines
+    """diff_id, line_ord, text, file_ord, hunk_ord, is_header, line_type and numbers of each line that belongs to a file."""
+    some = diffs.where(F.col("diff_text").rlike(r"\S")).select("diff_id", C.unix_lines(F.col("diff_text")).alias("diff_text"))
+    return some.mapInArrow(_number_lines, f"diff_id {diffs.schema['diff_id'].dataType.simpleString()}, {_LINES}")
 
 
 def diff_files(diffs: DataFrame) -> DataFrame:
@@ -83,24 +156,10 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
 
     Headers take a position but give no row; ``\\ No newline`` markers and empty lines take none.
     """
-    lines = raw_lines(diffs)
     t = F.col("text")
-    counted = (F.col("hunk_ord") > 0) & (F.col("is_header") | (~t.startswith("@@") & (t != "") & ~t.startswith("\\ No newline at end of file")))
-    body = lines.where(counted)
-    in_file = Window.partitionBy("diff_id", "file_ord").orderBy("line_ord")
-    in_hunk = Window.partitionBy("diff_id", "file_ord", "hunk_ord").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, 0)
-    kind = F.when(F.col("is_header"), "header").when(t.startswith("+"), "added").when(t.startswith("-"), "removed").otherwise("context")
-    body = body.withColumn("line_type", kind).withColumn("diff_position", F.row_number().over(in_file))
-    body = body.withColumns({f"{s}_seen": F.sum(F.col("line_type").isin(k, "context").cast("int")).over(in_hunk) for s, k in (("old", "removed"), ("new", "added"))})
-    heads = hunks_of(lines).select("diff_id", "file_ord", "hunk_ord", "old_start", "new_start")
-    names = files_of(lines).select("diff_id", "file_ord", "filename", "language")
-    body = body.where("line_type <> 'header'").join(heads, ["diff_id", "file_ord", "hunk_ord"]).join(names, ["diff_id", "file_ord"])
     content = F.when(t.rlike(r"^[+\- ]"), F.substr(t, F.lit(2))).otherwise(t)
-    return body.select(
-        "diff_id", "file_ord", "filename", "language", "hunk_ord", "line_ord", content.alias("content"), "line_type",
-        F.when(F.col("line_type") != "added", F.col("old_start") - 1 + F.col("old_seen")).cast("int").alias("old_lineno"),
-        F.when(F.col("line_type") != "removed", F.col("new_start") - 1 + F.col("new_seen")).cast("int").alias("new_lineno"),
-        "diff_position",
+    return raw_lines(diffs).where("line_type <> 'header'").select(
+        "diff_id", "file_ord", "filename", C.diff_language(F.col("filename")).alias("language"), "hunk_ord", "line_ord", content.alias("content"), "line_type", "old_lineno", "new_lineno", "diff_position"
     )
 
 

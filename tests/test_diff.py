@@ -120,3 +120,20 @@ def test_function_names(spark):
 def test_segment_is_lazy_about_nulls(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, True), (1, 3, False)], "k int, o int, s boolean")
     assert [r.seg for r in diff.segment(df, ["k"], "o", F.col("s"), "seg").orderBy("o").collect()] == [0, 1, 1]
+
+
+def test_lines_are_numbered_without_a_shuffle(spark):
+    plan = diff.diff_lines(table(spark, a=TWO_HUNKS, b=NEW))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_many_diffs_of_one_batch(spark):
+    """Stretches begin anew with each diff, whatever stands before; text before the first file, blank and null diffs give nothing."""
+    texts = [TWO_HUNKS, "", "prose\n@@ -1 +1 @@\n+x\n" + NEW + MOVED, None, GONE, " \n ", BINARY, "+only\n-lines", TRICKY + TWO_HUNKS]
+    one = spark.createDataFrame(list(enumerate(texts)), "diff_id long, diff_text string").coalesce(1)
+    together = {}
+    for r in diff.diff_lines(one).orderBy("diff_id", "file_ord", "line_ord").collect():
+        together.setdefault(r.diff_id, []).append((r.line_type, r.content, r.old_lineno, r.new_lineno, r.diff_position))
+    alone = {i: lines(spark, t) for i, t in enumerate(texts) if t is not None}
+    assert together == {i: v for i, v in alone.items() if v} and set(together) == {0, 2, 4, 8}
+    assert [(r.file_ord, r.filename) for r in diff.diff_files(one).where("diff_id = 8").orderBy("file_ord").collect()] == [(1, "t.c"), (2, "app/x.py")]
