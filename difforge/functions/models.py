@@ -9,7 +9,10 @@ import ast
 import hashlib
 import re
 import textwrap
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import columns as C
 from . import syntax
+from . import values as V
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
@@ -57,11 +61,46 @@ def embed_missing(texts: DataFrame, cache: DataFrame, embedder: Callable, text:
     return keyed.join(cache.select("key", "value").unionByName(fresh), "key")
 
 
-def complete(prompts: DataFrame, clients: list[Callable[[str], tuple[str, int, int]]], names: list[str], strict: str = "\n\nReply with JSON only.") -> DataFrame:
-    """Replies to prompts (prompt_id, prompt): response, model, input_tokens, output_tokens, attempts.
+def bounded(fn: Callable, items: list, at_once: int = V.LLM_CONCURRENCY, seconds: float = 60, tries: int = 1, pause: float = 0.5) -> list[tuple[object, str | None, int]]:
+    """(value, None, tries used) or (None, what went wrong, tries used) of ``fn`` on each item, in their order.
 
-    Clients are tried in turn until one doesn't fail. A reply that isn't JSON is asked for once more, with
-    ``strict`` added; tokens of all attempts are summed. If all clients fail the response is null.
+    At most ``at_once`` items are worked on; a call that takes longer than ``seconds`` counts as failed and is left to end by itself;
+    between tries the wait doubles, from ``pause`` on.
+    """
+
+    def once(item):
+        held: list = []
+
+        def call() -> None:
+            try:
+                held.append((fn(item), None))
+            except Exception as e:  # noqa: BLE001  whatever the service raises
+                held.append((None, f"{type(e).__name__}: {e}"))
+
+        thread = threading.Thread(target=call, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        return held[0] if held else (None, f"no answer within {seconds:g} s")
+
+    def run(item):
+        for k in range(1, tries + 1):
+            value, error = once(item)
+            if error is None or k == tries:
+                return value, error, k
+            time.sleep(pause * 2 ** (k - 1))
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(run, items))
+
+
+def complete(
+    prompts: DataFrame, clients: list[Callable[[str], tuple[str, int, int]]], names: list[str], strict: str = "\n\nReply with JSON only.", at_once: int = V.LLM_CONCURRENCY, seconds: float = 60, tries: int = 1, pause: float = 0.5
+) -> DataFrame:
+    """Replies to prompts (prompt_id, prompt): response, model, input_tokens, output_tokens, attempts, error.
+
+    Clients are tried in turn until one doesn't fail; each is asked up to ``tries`` times, with ``at_once`` prompts of a task in flight. A
+    reply that isn't JSON is asked for once more, with ``strict`` added; tokens of all attempts are summed. If all
+    clients fail the response is null and ``error`` says what the last one did.
     """
     import json
 
@@ -72,28 +111,36 @@ def complete(prompts: DataFrame, clients: list[Callable[[str], tuple[str, int, i
         except ValueError:
             return False
 
-    def ask(prompt: str):
+    def ask(texts: list[str]) -> list[tuple]:
+        """(model, response, input tokens, output tokens, error) of each; a later client gets what the earlier ones failed."""
+        out: list = [(None, None, 0, 0, None)] * len(texts)
+        open_ = list(range(len(texts)))
         for name, client in zip(names, clients, strict=True):
-            try:
-                return name, *client(prompt)
-            except Exception:  # noqa: BLE001  any failure of a service means the next one
-                continue
-        return None, None, 0, 0
+            done = bounded(client, [texts[i] for i in open_], at_once, seconds, tries, pause)
+            for i, (value, error, _) in zip(open_, done, strict=True):
+                out[i] = (name, *value, None) if error is None else (None, None, 0, 0, f"{name}: {error}")
+            open_ = [i for i in open_ if out[i][4] is not None]
+            if not open_:
+                break
+        return out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
+            prompts = df["prompt"].fillna("").tolist()
+            first = ask(prompts)
+            odd = [i for i, r in enumerate(first) if r[1] is not None and not is_json(r[1])]
+            again = dict(zip(odd, ask([prompts[i] + strict for i in odd]), strict=True))
             rows = []
-            for pid, prompt in zip(df["prompt_id"], df["prompt"], strict=True):
-                name, text, n_in, n_out = ask(prompt)
+            for i, (pid, (name, text, n_in, n_out, error)) in enumerate(zip(df["prompt_id"], first, strict=True)):
                 attempts = 1
-                if text is not None and not is_json(text):
-                    again, text2, more_in, more_out = ask(prompt + strict)
+                if i in again:
+                    name2, text2, more_in, more_out, _ = again[i]
                     n_in, n_out, attempts = n_in + more_in, n_out + more_out, 2
-                    name, text = (again, text2) if text2 is not None else (name, text)
-                rows.append((pid, text, name, n_in, n_out, attempts))
-            yield pd.DataFrame(rows, columns=["prompt_id", "response", "model", "input_tokens", "output_tokens", "attempts"])
+                    name, text = (name2, text2) if text2 is not None else (name, text)
+                rows.append((pid, text, name, n_in, n_out, attempts, error))
+            yield pd.DataFrame(rows, columns=["prompt_id", "response", "model", "input_tokens", "output_tokens", "attempts", "error"])
 
-    return prompts.select("prompt_id", "prompt").mapInPandas(run, "prompt_id string, response string, model string, input_tokens long, output_tokens long, attempts int")
+    return prompts.select("prompt_id", "prompt").mapInPandas(run, "prompt_id string, response string, model string, input_tokens long, output_tokens long, attempts int, error string")
 
 
 def _tree(source: str) -> ast.Module | tuple[str, int]:

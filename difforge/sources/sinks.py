@@ -30,15 +30,19 @@ def start_reviews(jobs: DataFrame, at: Column) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Rewrite a table that ``df`` may read: write beside it, then swap."""
+    """Rewrite a table that ``df`` may read: write beside it, then swap. Old rows stay under ``path``.old until the new ones are in place.
+
+    For tables that change often ``snapshots.SnapshotTable`` rewrites less and is never without a current version.
+    """
     spark = df.sparkSession
-    beside = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(beside)
     name = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     fs = name(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(name(path), True)
-    if not fs.rename(name(beside), name(path)):
-        raise OSError(f"can't rename {beside} to {path}")
+    beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
+    df.write.parquet(beside)
+    fs.delete(name(old), True)
+    if not fs.rename(name(path), name(old)) or not fs.rename(name(beside), name(path)):
+        raise OSError(f"can't put {beside} in place of {path}; the old table is {old}")
+    fs.delete(name(old), True)
 
 
 def kv_put(rows: DataFrame, path: str, seconds: int, now: Column | None = None) -> None:
@@ -52,26 +56,21 @@ def dispatch(jobs: DataFrame, path: str) -> None:
     append(jobs, path, ["queue"])
 
 
-def post_rows(rows: DataFrame, post, rejects: str, batch: int = 100) -> None:
+def post_rows(rows: DataFrame, post, rejects: str, batch: int = 100, at_once: int = 5, seconds: float = 60, tries: int = 1, pause: float = 0.5) -> None:
     """Post rows in batches; a batch that fails is tried row by row, and rows that fail alone are written to ``rejects``.
 
-    ``post(list of dicts)`` raises on failure. It runs in the partitions, so nothing goes through the driver.
+    ``post(list of dicts)`` raises on failure. It runs in the partitions, ``at_once`` posts of each in flight, so nothing goes through the driver.
     """
     import pandas as pd
 
+    from ..functions.models import bounded
+
     def run(parts):
         for df in parts:
-            bad = []
-            for i in range(0, len(df), batch):
-                some = df.iloc[i : i + batch].to_dict("records")
-                try:
-                    post(some)
-                except Exception:  # noqa: BLE001  whatever the service raises
-                    for row in some:
-                        try:
-                            post([row])
-                        except Exception as e:  # noqa: BLE001
-                            bad.append((str(row), str(e)))
-            yield pd.DataFrame(bad, columns=["row", "error"])
+            some = [df.iloc[i : i + batch].to_dict("records") for i in range(0, len(df), batch)]
+            done = bounded(post, some, at_once, seconds, tries, pause)
+            alone = [[row] for part, (_, error, _) in zip(some, done, strict=True) if error is not None for row in part]
+            left = [(str(row[0]), error) for row, (_, error, _) in zip(alone, bounded(post, alone, at_once, seconds, tries, pause), strict=True) if error is not None]
+            yield pd.DataFrame(left, columns=["row", "error"])
 
     rows.mapInPandas(run, "row string, error string").write.mode("append").parquet(rejects)

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: How often a change is put on top of changes that others published meanwhile.
+TRIES = 8
+
+
 class Conflict(RuntimeError):
     """Someone else has published the next snapshot first; nothing of this change is visible."""
 
@@ -80,9 +84,19 @@ class SnapshotTable:
             return False
         folder = f"delta/{uuid.uuid4().hex}"
         touched = self._write(rows, snapshot, folder)
-        if batch:
-            snapshot["batches"][batch[0]] = batch[1]
-        self._publish(snapshot | {"n": snapshot["n"] + 1, "deltas": snapshot["deltas"] + ([{"folder": folder, "n": snapshot["n"] + 1, "buckets": touched}] if touched else [])})
+        for left in reversed(range(TRIES)):
+            if batch:
+                snapshot["batches"][batch[0]] = batch[1]
+            delta = [{"folder": folder, "n": snapshot["n"] + 1, "buckets": touched}] if touched else []
+            try:
+                self._publish(snapshot | {"n": snapshot["n"] + 1, "deltas": snapshot["deltas"] + delta})
+                return True
+            except Conflict:  # another writer was first; this delta goes on top of that one's
+                if not left:
+                    raise
+            snapshot = self.snapshot()
+            if batch and snapshot["batches"].get(batch[0], -1) >= batch[1]:
+                return False
         return True
 
     def put(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> bool:
