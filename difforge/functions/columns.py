@@ -104,11 +104,6 @@ def model_json(text: Column) -> Column:
     return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), clean)
 
 
-def or_default(x: Column, default) -> Column:
-    """``x`` unless it is null, zero or empty."""
-    return F.coalesce(F.nullif(x, F.lit(0) if isinstance(default, int) else F.lit("")), F.lit(default))
-
-
 def call_cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict | None = None) -> Column:
     """Dollars of one model call."""
     table = V.PRICES if prices is None else prices

@@ -33,13 +33,18 @@ def _blocks(df: DataFrame, row_id: str, size: int, out: str) -> DataFrame:
     return df.join(many, "_repo").withColumn(out, F.pmod(F.xxhash64(row_id), F.col("_of")).cast("int"))
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vectors as rows, their norms, which take part); null, zero, short or non-finite ones don't."""
-    held = [None if v is None or any(x is None for x in v) else np.asarray(v, np.float64) for v in column.to_pylist()]
-    dim = max((len(v) for v in held if v is not None), default=0)
-    ok = np.array([v is not None and len(v) == dim and dim > 0 and bool(np.isfinite(v).all()) and bool(v.any()) for v in held], bool)
-    m = np.stack([v if k else np.ones(dim) for v, k in zip(held, ok, strict=True)]) if len(held) else np.zeros((0, dim))
-    return m, np.sqrt(_in_order(m * m)), ok
+def _matrices(column) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: (places, vectors as rows, their norms) of vectors that take part; null, zero and non-finite ones don't."""
+    by: dict[int, list[int]] = {}
+    held = column.to_pylist()
+    for i, v in enumerate(held):
+        if v and None not in v and any(v) and np.isfinite(v).all():
+            by.setdefault(len(v), []).append(i)
+    out = {}
+    for n, at in by.items():
+        m = np.array([held[i] for i in at], np.float64)
+        out[n] = np.array(at), m, np.sqrt(_in_order(m * m))
+    return out
 
 
 def _in_order(products: np.ndarray) -> np.ndarray:
@@ -54,23 +59,27 @@ def _block_top(k: int, threshold: float, fields: pa.Schema):
         none = pa.Table.from_batches([], fields)
         if not left.num_rows or not right.num_rows:
             return none
-        q, qn, q_ok = _matrix(left.column("vector"))
-        c, cn, c_ok = _matrix(right.column("embedding"))
-        if q.shape[1] != c.shape[1]:
-            return none
-        near = (q @ c.T) / (qn[:, None] * cn[None, :])
-        near[~q_ok], near[:, ~c_ok] = -np.inf, -np.inf
+        skip, paths = [None] * left.num_rows, {}
         if "exclude" in left.column_names:
-            at: dict = {}
+            skip = left.column("exclude").to_pylist()
             for i, path in enumerate(right.column("file_path").to_pylist()):
-                at.setdefault(path, []).append(i)
-            for i, paths in enumerate(left.column("exclude").to_pylist()):
-                near[i, [x for p in paths or () for x in at.get(p, ())]] = -np.inf
-        best = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
-        qi, ci = np.nonzero((near >= np.maximum(best, threshold)[:, None] - SLACK) & np.isfinite(near))
-        exact = np.concatenate([np.zeros(0), *(_in_order(q[qi[i : i + BLOCK]] * c[ci[i : i + BLOCK]]) for i in range(0, len(qi), BLOCK))]) / (qn[qi] * cn[ci])
-        ok = exact >= threshold
-        qi, ci, exact = qi[ok], ci[ok], exact[ok]
+                paths.setdefault(path, []).append(i)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        chunks = _matrices(right.column("embedding"))
+        for n, (q_at, q, qn) in _matrices(left.column("vector")).items():
+            if n not in chunks:
+                continue
+            c_at, c, cn = chunks[n]
+            near = (q @ c.T) / (qn[:, None] * cn[None, :])
+            for i, at in enumerate(q_at):
+                if gone := [x for p in skip[at] or () for x in paths.get(p, ())]:
+                    near[i, np.isin(c_at, gone)] = -np.inf
+            best = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+            qi, ci = np.nonzero((near >= np.maximum(best, threshold)[:, None] - SLACK) & np.isfinite(near))
+            exact = np.concatenate([np.zeros(0), *(_in_order(q[qi[i : i + BLOCK]] * c[ci[i : i + BLOCK]]) for i in range(0, len(qi), BLOCK))]) / (qn[qi] * cn[ci])
+            ok = exact >= threshold
+            found.append((q_at[qi[ok]], c_at[ci[ok]], exact[ok]))
+        qi, ci, exact = (np.concatenate(x) for x in zip(*found, strict=True))
         rank = np.empty(right.num_rows, np.int64)
         rank[pc.sort_indices(right.column("chunk_id")).to_numpy()] = np.arange(right.num_rows)
         order = np.lexsort((rank[ci], -exact, qi))
@@ -91,7 +100,8 @@ def similar_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, threshold:
     queries: query_id, repo_id, vector (and ``exclude``, an array of file paths); chunks: repo_id, chunk_id, embedding and whatever is
     to come along, file_path if ``exclude`` is given. Both sides of a repository are cut into blocks and each pair of blocks meets in one
     task as a matrix product, of which at most ``k`` rows a query go on to the merge. Threshold and rank are by the exact
-    cosine, summed in order; ``score`` shows six digits of it. Vectors that are null, zero, non-finite or of another length take no part.
+    cosine, summed in order; ``score`` shows six digits of it. Vectors that are null, zero or
+    non-finite take no part, and only vectors of one length meet.
     """
     q = queries.select("query_id", "repo_id", "vector", *([F.col(exclude).alias("exclude")] if exclude else []))
     q, c = _blocks(q, "query_id", block, "_q").drop("repo_id"), _blocks(chunks, "chunk_id", block, "_c")

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import models
-from ..operators import chunking, diff, findings, indexing, intervals, retrieval, reviews, routing
+from ..operators import chunking, diff, findings, indexing, intervals, postings, retrieval, reviews, routing
 from ..sources import readers, sinks
 from ..sources.readers import table
-from ..streaming import expiring, streams
+from ..sources.snapshots import SnapshotTable
+from ..streaming import expiring, index_stream, streams
 from . import proxies as P
+from . import review
 from .sql import SQL
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -650,7 +652,7 @@ def dedup_views(spark, sf):
 
 @query
 def review_log(spark, sf):
-    """SNK-1, SNK-2: reviews from their log; a purchase completes one."""
+    """SNK-2: reviews from their log; a purchase completes one."""
     e = table(spark, sf, "events")
     log = e.select(F.col("user_id").alias("review_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type")).alias("status"), F.col("ts").alias("at"))
     rows = reviews.review_state(log)
@@ -659,7 +661,7 @@ def review_log(spark, sf):
 
 @query
 def vector_upsert(spark, sf):
-    """SNK-5, SNK-6: chunks put in by key over older ones, and new keys appended."""
+    """SNK-5: chunks put in by key over older ones, and new keys appended."""
     d = P.documents(spark, sf).select("doc_id")
     old, new = d.withColumn("commit_sha", F.lit("old")), d.where("doc_id % 3 = 0").withColumn("commit_sha", F.lit("new"))
     more = d.where("doc_id % 5 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("new").alias("commit_sha"))
@@ -851,6 +853,138 @@ def syntax_chunks(spark, sf):
     return chunking.all_chunks(files, nodes.where("node_ord IS NOT NULL"), nodes).select("file_path", "chunk_type", "name", "start_line", "end_line")
 
 
+@query
+def whole_review(spark, sf):
+    """End to end: diffs of up to four files through gate, linters and stored replies to the comments that are posted."""
+    many, config, lint, replies = P.review_input(spark, sf)
+    return review.review(many, config, lint, review.Replies(**replies)).comments.select("review_id", "pos", "path", "position", "start_line", "line", "body")
+
+
+@query
+def whole_review_summaries(spark, sf):
+    """End to end: the summary of each review that isn't ended early."""
+    many, config, lint, replies = P.review_input(spark, sf)
+    return review.review(many, config, lint, review.Replies(**replies)).summaries
+
+
+@query
+def table_upserts(spark, sf):
+    """SNK-5, SNK-7: documents in a snapshot table, put in over older ones, deleted by key and by filter, compacted twice."""
+    d = P.documents(spark, sf).select("doc_id", "repo_id", F.lit("old").alias("commit_sha"))
+    t = SnapshotTable.create(spark, streams.folder_until_end(spark, "table"), "doc_id long, repo_id string, commit_sha string", ["doc_id"], 16)
+    t.put(d)
+    t.compact()
+    t.put(d.where("doc_id % 3 = 0").withColumn("commit_sha", F.lit("new")).unionByName(d.where("doc_id % 5 = 0").withColumns({"doc_id": F.col("doc_id") + 1000000, "commit_sha": F.lit("new")})))
+    t.delete(d.where("doc_id % 11 = 0").select("doc_id"))
+    t.delete_where(F.col("repo_id") == "src1")
+    t.compact()
+    t.put(d.where("doc_id % 13 = 0").withColumn("commit_sha", F.lit("late")))
+    return t.read()
+
+
+def _word_index(spark, sf, pattern):
+    index = postings.Index(spark, streams.folder_until_end(spark, "index"), 16, pattern)
+    index.add(P.documents(spark, sf).where("content IS NOT NULL").select("repo_id", F.col("doc_id").cast("string").alias("chunk_id"), "file_path", F.lit(1).alias("start_line"), "content"))
+    return index
+
+
+@query
+def stored_text_matches(spark, sf):
+    """FLT-12: documents that hold all words of a name, from a stored inverted index."""
+    names = P.documents(spark, sf).select("repo_id").distinct().select(F.col("repo_id").alias("query_id"), "repo_id", F.lit("the AND").alias("name"))
+    return _word_index(spark, sf, postings.WORD).holding(names).select(F.col("chunk_id").cast("long").alias("doc_id"))
+
+
+@query
+def stored_callers(spark, sf):
+    """JOIN-9, SRT-3: the first ten files of each repository that hold a keyword, from a stored inverted index."""
+    words = F.explode(F.array(*map(F.lit, ("the", "und", "les", "de")))).alias("name")
+    names = P.documents(spark, sf).select("repo_id").distinct().select("repo_id", words).select(F.concat_ws(":", "repo_id", "name").alias("query_id"), "repo_id", "name", F.array().cast("array<string>").alias("exclude"))
+    return _word_index(spark, sf, "[a-z]+").callers(names).select("query_id", F.col("chunk_id").cast("long").alias("chunk_id"), "rank")
+
+
+@query
+def index_lane(spark, sf):
+    """SRC-13, SNK-10, §2.11: chunks as a stream of three batches into a snapshot table; what is there at its commit isn't put in again."""
+    i, root = F.col("doc_id"), streams.folder_until_end(spark, "lane")
+    rows = table(spark, sf, "documents").select((i % 3).alias("repo_id"), F.concat(F.lit("c"), (i % 300).cast("string")).alias("chunk_id"), "source", F.format_string("s%06d", F.floor(i / 300)).alias("commit_sha"), i.alias("doc_id"), F.col("source").alias("file_path"))
+    schema = rows.drop("source").schema
+    third = rows.agg(F.percentile_approx("doc_id", F.array(F.lit(1 / 3), F.lit(2 / 3)))).first()[0]
+    for lo, hi in zip([-1, *third], [*third, 1 << 62], strict=True):
+        rows.drop("source").where((i > lo) & (i <= hi)).coalesce(1).write.mode("append").parquet(f"{root}/chunks")
+    t = SnapshotTable.create(spark, f"{root}/table", schema, index_stream.KEYS, 8)
+    index_stream.run_lane(streams.file_stream(spark, f"{root}/chunks", schema, per_trigger=1), t, "full", f"{root}/checkpoint").awaitTermination()
+    return t.read().select("repo_id", "chunk_id", "commit_sha")
+
+
+def _first_client(prompt: str) -> tuple[str, int, int]:
+    """Stands for a service: down for some prompts, talkative for others unless told not to be."""
+    n = int(prompt.split(":")[1].split("\n")[0])
+    if n % 7 == 0:
+        raise OSError("down")
+    return ('{"n": 1}' if n % 5 or prompt.endswith("only.") else "well"), len(prompt), 3
+
+
+def _second_client(prompt: str) -> tuple[str, int, int]:
+    n = int(prompt.split(":")[1].split("\n")[0])
+    if n % 14 == 0:
+        raise OSError("down")
+    return "[]", 1, 1
+
+
+@query
+def model_replies(spark, sf):
+    """UDF-2: replies to a prompt for each document, five in flight for each task; a second client where the first fails, one more try where the reply isn't JSON."""
+    prompts = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("prompt_id"), F.concat(F.lit("id:"), F.col("doc_id").cast("string"), F.lit("\n")).alias("prompt"))
+    return models.complete(prompts, [_first_client, _second_client], ["first", "second"], pause=0).select("prompt_id", "response", "model", "input_tokens", "output_tokens", "attempts", "error")
+
+
+@query
+def stage_prompts(spark, sf):
+    """UDF-9, SRT-6: the prompts of the other four stages for each document."""
+    d = P.documents(spark, sf)
+    text = F.col("content")
+    made = {
+        "summary": models.stage_prompt("summary", title=F.col("file_path"), diff=text),
+        "xfile": models.stage_prompt("xfile", description=F.col("repo_id"), diff=text),
+        "style": models.stage_prompt("style", filename=F.col("file_path"), guidelines=F.col("repo_id"), diff=text),
+        "dedup": models.stage_prompt("dedup", findings=text),
+    }
+    return d.select("doc_id", *(F.sha2(p, 256).alias(f"{stage}_sha") for stage, p in made.items()))
+
+
+@query
+def started_reviews(spark, sf):
+    """SNK-1: log rows of reviews that begin."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo_id"), F.col("o_orderkey").alias("pr_number"), F.lit("t").alias("pr_title"), F.col("o_orderstatus").alias("head_sha"), F.lit("b").alias("base_sha"))
+    return sinks.start_reviews(o, F.lit("2024-01-01").cast("timestamp")).select("review_id", "repo_id", "pr_number", "status", "stage", "seq")
+
+
+@query
+def finding_memory(spark, sf):
+    """SNK-6: findings appended twice to the memory; repeats accumulate under ids of their own."""
+    f, path = P.findings(spark, sf).select("review_id", "ord", "category"), streams.folder_until_end(spark, "memory") + "/rows"
+    for n in (1, 2):
+        sinks.append(reviews.past_finding_rows(f.withColumn("occurrence", F.lit(n))), path)
+    return spark.read.parquet(path).select("finding_id", "category", "occurrence")
+
+
+@query
+def dispatched_jobs(spark, sf):
+    """SNK-10: jobs as files of their queue."""
+    path = streams.folder_until_end(spark, "jobs") + "/queues"
+    sinks.dispatch(table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", "slow").otherwise("fast").alias("queue")), path)
+    return spark.read.parquet(path).select("event_id", F.col("queue").cast("string").alias("queue"))
+
+
+@query
+def reviewed_files(spark, sf):
+    """JOIN-7, SET-5: reviewable files that the repository's settings don't ignore."""
+    d = P.documents(spark, sf).select(F.col("repo_id").alias("diff_id"), F.col("file_path").alias("filename"))
+    config = d.select("diff_id").distinct().where("diff_id <> 'src2'").withColumn("ignore_patterns", F.when(F.col("diff_id") == "src1", F.array(F.lit("src1/*"))).otherwise(F.array(F.lit("*.[gG]O"))))
+    return routing.review_files(d, config)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_found)
 

@@ -77,3 +77,21 @@ def cache_ops(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("op_id"), F.col("ts").cast("timestamp").alias("at"), F.when(put, "put").otherwise("get").alias("kind"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("key"),
         F.when(put, F.col("props")).alias("value"), F.when(put, seconds).alias("seconds"),
     )
+
+
+def review_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(diffs, settings, linter rows, replies) of reviews of up to four files: the documents whose id divided by four is the review's."""
+    d = diffs(spark, sf).join(documents(spark, sf).select(F.col("doc_id").alias("diff_id"), F.col("file_path"), "content"), "diff_id").withColumn("review_id", F.floor(F.col("diff_id") / 4))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("diff_id", "diff_text"))), lambda x: x["diff_text"])
+    many = d.groupBy("review_id").agg(F.array_join(texts, "\n").alias("diff_text"))
+    r = F.col("review_id")
+    config = many.select("review_id", (r % 9 != 0).alias("enabled"), F.when(r % 5 == 0, F.array(F.lit("src1/*"))).otherwise(F.array().cast("array<string>")).alias("ignore_patterns"), F.when(r % 4 == 0, "medium").otherwise("low").alias("severity_threshold"), (r % 3 != 0).alias("style_review"))
+    i = F.col("diff_id")
+    line = F.array((i % 7 + 1).cast("int"), (i % 11 + 201).cast("int"))
+    lint = d.select("review_id", "file_path", F.when(i % 3 == 0, "gitleaks").otherwise("ruff").alias("tool"), F.lit("R1").alias("rule"), F.explode(line).alias("line"), F.lit("message").alias("message"), F.when(i % 2 == 0, "error").otherwise("warning").alias("severity"))
+    item = lambda a, b, sev, cat: F.struct(a.cast("int").alias("line_start"), b.cast("int").alias("line_end"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"), F.concat(F.lit(f"{cat} in "), "file_path").alias("title"), F.lit("why").alias("body"), F.when(i % 2 == 0, "x = 1").alias("suggestion_code"))
+    bugs = F.to_json(F.array(item(i % 7 + 1, i % 7 + 3, "high", "bug"), item(i % 5 + 203, i % 5 + 203, "critical", "security"), item(F.lit(9000), F.lit(9001), "high", "bug")))
+    bug = d.select("review_id", "file_path", F.when(i % 6 == 0, "no json").otherwise(F.concat(F.lit("```json\n"), bugs, F.lit("\n```"))).alias("response"))
+    style = d.select("review_id", "file_path", F.to_json(F.array(item(i % 13 + 1, i % 13 + 1, "high", "style"))).alias("response"))
+    summary = many.select("review_id", F.when(r % 2 == 0, F.concat(F.lit('{"summary": "Change '), r.cast("string"), F.lit('", "key_changes": [], "risk_level": "low"}'))).otherwise("?").alias("response"))
+    return many, config, lint, {"summary": summary, "bug": bug, "style": style}

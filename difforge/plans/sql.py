@@ -270,3 +270,28 @@ SQL |= {
   m AS (SELECT *, max(epoch_us(ts) - (i // 3) * 3600000000) OVER (PARTITION BY key, i % 3 ORDER BY i) + (i // 3) * 3600000000 AS a FROM r)
 SELECT event_id, a AS admitted_us, a - epoch_us(ts) AS waited_us FROM m""",
 }
+
+_STAGES = {
+    "summary": "'Summarise this change.' || chr(10) || 'Title: ' || file_path || chr(10) || 'Diff:' || chr(10) || t || chr(10) || 'Reply with a JSON object: summary, key_changes (list), risk_level (low, medium or high).'",
+    "xfile": "repo_id || chr(10) || 'Call sites:' || chr(10) || t || chr(10) || 'Reply with a JSON object: has_breaking_changes, affected_call_sites (list of file, line, issue, suggestion).'",
+    "style": "'Review the style of ' || file_path || '. ' || repo_id || chr(10) || 'Diff:' || chr(10) || t || chr(10) || 'Reply with a JSON list as for defects, severity low or medium.'",
+    "dedup": "'Some of these findings may say the same.' || chr(10) || coalesce(content, '') || chr(10) || 'Reply with a JSON list of the ids to keep.'",
+}
+
+SQL |= {
+    "table_upserts": f"""WITH {DOCS}, k AS (SELECT doc_id, repo_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS commit_sha FROM d WHERE doc_id % 11 <> 0 AND repo_id IS DISTINCT FROM 'src1'
+    UNION ALL SELECT doc_id + 1000000, repo_id, 'new' FROM d WHERE doc_id % 5 = 0 AND repo_id IS DISTINCT FROM 'src1'), l AS (SELECT doc_id, repo_id, 'late' AS commit_sha FROM d WHERE doc_id % 13 = 0)
+SELECT * FROM k WHERE doc_id NOT IN (SELECT doc_id FROM l) UNION ALL SELECT * FROM l""",
+    "stored_text_matches": SQL["text_matches"],
+    "stored_callers": SQL["keyword_callers"],
+    "index_lane": "SELECT doc_id % 3 AS repo_id, 'c' || doc_id % 300 AS chunk_id, max('s' || lpad(CAST(doc_id // 300 AS VARCHAR), 6, '0')) AS commit_sha FROM documents GROUP BY ALL",
+    "model_replies": """WITH p AS (SELECT doc_id, length(CAST(doc_id AS VARCHAR)) + 4 AS n, doc_id % 7 = 0 AS one, doc_id % 14 = 0 AS two, doc_id % 5 = 0 AS odd FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS prompt_id, CASE WHEN two THEN NULL WHEN one THEN '[]' ELSE '{"n": 1}' END AS response, CASE WHEN two THEN NULL WHEN one THEN 'second' ELSE 'first' END AS model,
+  CASE WHEN two THEN 0 WHEN one THEN 1 WHEN odd THEN 2 * n + 23 ELSE n END AS input_tokens, CASE WHEN two THEN 0 WHEN one THEN 1 WHEN odd THEN 6 ELSE 3 END AS output_tokens,
+  CASE WHEN odd AND NOT one THEN 2 ELSE 1 END AS attempts, CASE WHEN two THEN 'second: OSError: down' END AS error FROM p""",
+    "stage_prompts": f"WITH {DOCS}, q AS (SELECT *, substr(coalesce(content, ''), 1, 3000) AS t FROM d) SELECT doc_id, " + ", ".join(f"sha256({text}) AS {stage}_sha" for stage, text in _STAGES.items()) + " FROM q",
+    "started_reviews": "SELECT sha256(o_custkey || ':' || o_orderkey || ':' || o_orderstatus) AS review_id, o_custkey AS repo_id, o_orderkey AS pr_number, 'processing' AS status, 'pipeline' AS stage, 0 AS seq FROM orders",
+    "finding_memory": "SELECT sha256('r:' || event_id || ':' || n) AS finding_id, event_type AS category, CAST(n AS INT) AS occurrence FROM events, (VALUES (1), (2)) AS o(n)",
+    "dispatched_jobs": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'slow' ELSE 'fast' END AS queue FROM events",
+    "reviewed_files": f"WITH {DOCS} SELECT repo_id AS diff_id, file_path AS filename FROM d WHERE NOT regexp_matches(file_path, '{NO_REVIEW}') AND (repo_id = 'src2' OR repo_id <> 'src1' AND NOT file_path GLOB '*.[gG]O')",
+}
