@@ -28,11 +28,12 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic embedder for tests and offline use: signed hashes of words, unit length."""
 
     def embed(texts: list[str]) -> list[list[float]]:
+        words = [re.findall(r"\w+", t.lower()) for t in texts]
+        known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}  # each distinct word of a batch is hashed once
+        h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in known], np.uint64)
         out = np.zeros((len(texts), dim))
-        for i, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+        at = np.array([known[w] for ws in words for w in ws], np.int64)
+        np.add.at(out, (np.repeat(np.arange(len(texts)), [len(ws) for ws in words]), (h % np.uint64(dim)).astype(int)[at]), np.where(h >> np.uint64(63), 1, -1)[at])
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm > 0, norm, 1)).tolist()
 

@@ -5,6 +5,10 @@ Files come as (…keys, file_path, content); all other columns of the input are
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +52,26 @@ def line_windows(files: DataFrame, keys: list[str] = (), size: int = WINDOW_LINE
     return _finish(rows, list(keys), "window")
 
 
+_TOKEN = re.compile(r"\s*\S+|\s+$", re.ASCII)
+
+
+def _cut_tokens(text: str, size: int, step: int) -> list[dict]:
+    """Windows of a text in one pass: ends of tokens and the line ends before each are counted once."""
+    ends = np.array([0, *(m.end() for m in _TOKEN.finditer(text))])
+    lines = np.concatenate([[0], np.cumsum([text.count("\n", a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)])]).astype(int)
+    n = len(ends) - 1
+    return [{"content": text[ends[i] : ends[j := min(i + size, n)]], "start_line": int(lines[i]) + 1, "end_line": int(lines[j]) + 1} for i in range(0, n, step)]
+
+
 def token_windows(files: DataFrame, keys: list[str] = (), size: int = WINDOW_TOKENS, overlap: int = TOKEN_OVERLAP) -> DataFrame:
     """Windows of ``size`` tokens; a token is a word with the white space before it, so windows join back to the text."""
-    rows = with_lines(files, keys).select(*keys, "file_path", F.regexp_extract_all(F.array_join("ls", "\n"), F.lit(r"(\s*\S+|\s+$)"), F.lit(1)).alias("toks"))
-    rows = rows.select(*keys, "file_path", "toks", F.posexplode(F.sequence(F.lit(0), F.size("toks") - 1, F.lit(size - overlap))).alias("win", "pos"))
-    newlines = lambda text: F.regexp_count(text, F.lit("\n"))
-    text = F.array_join(F.slice("toks", F.col("pos") + 1, size), "")
-    before = F.aggregate(F.slice("toks", F.lit(1), F.col("pos")), F.lit(0), lambda s, t: s + newlines(t))
-    rows = rows.withColumns({"content": text, "start_line": before + 1})
-    rows = rows.select(*keys, "file_path", F.format_string("<window_%d>", "win").alias("name"), "content", "start_line", (F.col("start_line") + newlines(F.col("content"))).alias("end_line"), (F.col("win") + 1).alias("ord"))
+
+    @F.pandas_udf("array<struct<content:string,start_line:int,end_line:int>>")
+    def cut(text: pd.Series) -> pd.Series:
+        return pd.Series([_cut_tokens(t, size, size - overlap) for t in text])
+
+    rows = with_lines(files, keys).select(*keys, "file_path", F.posexplode(cut(F.array_join("ls", "\n"))).alias("win", "w"))
+    rows = rows.select(*keys, "file_path", F.format_string("<window_%d>", "win").alias("name"), "w.content", "w.start_line", "w.end_line", (F.col("win") + 1).alias("ord"))
     return _finish(rows, list(keys), "window")
 
 

@@ -35,6 +35,23 @@ def test_query(spark, duck, name):
         assert rows(got.columns, data) == rows(want.columns, want.fetchall())
 
 
+#: Queries that read whole texts in ways that a few texts only break; on ten times as many documents.
+WHOLE_TEXTS = ["suggestion_checks", "syntax_table", "import_table", "syntax_marks", "token_windows", "diff_line_table", "embed_cached"]
+
+
+@pytest.mark.parametrize("name", WHOLE_TEXTS)
+def test_query_on_more_texts(spark, name):
+    larger = SF.replace("0.001", "0.01")
+    got = catalog.queries()[name](spark, larger)
+    data = [tuple(r) for r in got.collect()]
+    assert data
+    if sql := catalog.oracle_sql().get(name):
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{larger}/documents.parquet'")
+        want = c.sql(sql)
+        assert rows(got.columns, data) == rows(want.columns, want.fetchall())
+
+
 def test_all_sql_is_used():
     from difforge.plans.sql import SQL
 

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -419,3 +420,28 @@ def test_files_keep_their_place_without_context(spark):
     files = spark.createDataFrame([(1, "a"), (1, "b")], "diff_id int, filename string")
     found = spark.createDataFrame([(1, "a", "ctx"), (2, "b", "no")], "diff_id int, filename string, section string")
     assert {(r.filename, r.section) for r in retrieval.enriched_files(files, found).collect()} == {("a", "ctx"), ("b", None)}
+
+
+def test_diff_texts(spark, tmp_path):
+    """SRC-1: whole files as diffs, their names as ids."""
+    for name, text in (("a.diff", "diff --git a/x b/x\n@@ -1 +1 @@\n+one\n"), ("b.diff", "")):
+        (tmp_path / name).write_text(text)
+    got = {r.diff_id: r.diff_text for r in readers.diff_texts(spark, str(tmp_path)).collect()}
+    assert got["a.diff"].endswith("+one\n") and set(got) <= {"a.diff", "b.diff"}
+
+
+def test_deliveries_come_once_and_the_last_state_counts(spark, tmp_path):
+    """Repeats within the delay are dropped, over batches too; the log's last row of a key is its state."""
+    schema = "delivery_id string, at timestamp, k long, v string"
+    rows = [("a", 0, 1, "x"), ("b", 1, 1, "y"), ("a", 2, 1, "x"), ("c", 3, 2, "z"), ("b", 4, 1, "y"), ("d", 5, 1, "w")]
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame([(d, datetime(2024, 1, 1, 0, 0, s), k, v) for d, s, k, v in part], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    once = streams.unique_deliveries(streams.file_stream(spark, f"{tmp_path}/in", schema, per_trigger=1))
+    streams.write_batches(once, streams.log_sink(f"{tmp_path}/log"), f"{tmp_path}/checkpoint").awaitTermination()
+    assert sorted(r.delivery_id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == ["a", "b", "c", "d"]
+    assert {(r.k, r.v) for r in streams.latest_view(spark, f"{tmp_path}/log", ["k"], "at").collect()} == {(1, "w"), (2, "z")}
+
+
+def test_callers_of_several_functions_come_once(spark):
+    rows = spark.createDataFrame([("q", "c1", 2, 1), ("q", "c1", 1, 3), ("q", "c2", 2, 2)], "query_id string, chunk_id string, name_ord int, rank int")
+    assert {(r.chunk_id, r.name_ord) for r in retrieval.distinct_callers(rows).collect()} == {("c1", 1), ("c2", 2)}
