@@ -4,8 +4,9 @@ Targets are token shares by source. Among all document rates in [0, MOST], those
 that meet every source's token target are rate = min(MOST, exp(lambda_source * x)), x being the document's size over
 its source's mean. The multipliers minimise the convex dual; each Newton step takes its gradient and curvature
 from one distributed pass over the histogram of (source, size). Rates become whole copies by error diffusion, within about one of the rate, largest
-documents first, in chunks of about CHUNK rows that a hash of the id fixes, so reruns agree and no source, however
-large, is one task.
+documents first, in chunks of about CHUNK rows that a hash of id and size fixes. Rows alike in source, id and size are counted first and
+cut into pieces of CHUNK, so neither a large source nor one id, or none, that most rows have makes a large chunk. Sums are of
+decimals, which no order of rows changes, so reruns agree.
 
 Cases: null text has size 0; a null source is a source, the last; documents of size 0 have rate 1; repeated rows
 are rows of their own; an empty table gives an empty result. More than MOST_SOURCES sources are refused, as their
@@ -66,6 +67,11 @@ def _whole_copies(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["doc_id", "source", "size", "source_size", "target", "rate", "copies"]]
 
 
+def _chunk_copies(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows with how many times each occurs, as rows with their copies."""
+    return _whole_copies(rows.loc[rows.index.repeat(rows["times"])].reset_index(drop=True))
+
+
 def balance(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken for each row of ``docs``."""
     spark = docs.sparkSession
@@ -93,12 +99,13 @@ def balance(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
         x = F.col("size") / F.greatest(F.col("mean"), F.lit(1e-9))
         return df.withColumn("x", x).withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(_rate(F.col("lam"), x)))
 
+    exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
     for _ in range(STEPS):
         if not open_:
             break
         mass = F.col("size") * F.col("rows") * F.col("rate")
         slope = F.when(F.col("rate") < MOST, mass * F.col("x")).otherwise(0.0)
-        for r in with_rate(hist, open_).groupBy("source").agg(F.sum(mass).alias("f"), F.sum(slope).alias("h")).collect():
+        for r in with_rate(hist, open_).groupBy("source").agg(exact(mass).alias("f"), exact(slope).alias("h")).collect():
             s, miss = r.source, r.f - target[r.source]
             if abs(miss) <= 1e-7 * target[s]:
                 open_.discard(s)
@@ -107,7 +114,10 @@ def balance(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
             step = lam[s] - miss / r.h if r.h > 0 else math.inf
             lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
     lam = {s: round(v, 9) for s, v in lam.items()}
-    rated = with_rate(base, list(size)).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-    rated = rated.select("source", "chunk", "doc_id", "size", "source_size", "target", "rate")
-    out = rated.groupBy("source", "chunk").applyInPandas(_whole_copies, "doc_id long, source string, size long, source_size long, target double, rate double, copies long")
+    alike = base.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("all"))
+    alike = alike.select("source", "doc_id", "size", "all", F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / CHUNK))).alias("piece"))
+    alike = alike.withColumn("times", F.least(F.lit(CHUNK), F.col("all") - F.col("piece") * CHUNK))
+    rated = with_rate(alike, list(size)).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "piece"), F.col("chunks")))
+    rated = rated.select("source", "chunk", "doc_id", "size", "source_size", "target", "rate", "times")
+    out = rated.groupBy("source", "chunk").applyInPandas(_chunk_copies, "doc_id long, source string, size long, source_size long, target double, rate double, copies long")
     return out.withColumn("taken", F.col("copies") * F.col("size"))

@@ -4,7 +4,8 @@ Bytes, tokens and rows are balanced jointly: groups of equal texts are placed, l
 the dot product of their vector with the residual capacity is highest. Law ``bytes``: shard sizes come out near
 equal. Only a bounded number of items reaches the driver: groups that make up a noticeable part of a shard are
 items of their own (at most 3 * shards * FINE of them, as their shares sum to 3), all smaller ones are hashed into
-shards * BUNDLES bundles. A group larger than a quarter of a shard is split by a hash of the id.
+shards * BUNDLES bundles. A group larger than a quarter of a shard is split by a hash of the id; rows without id are split by a number that they get when they
+are first written.
 
 Cases: null text has size OVERHEAD, no tokens, and forms a group; null ids are dealt like others; repeated rows are
 rows of their own; an empty table gives an empty result; columns other than doc_id and text are ignored.
@@ -73,6 +74,7 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
             word_count(text).alias("tokens"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64(text, text.isNull()).alias("g"),
+            F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("salt"),
         )
     )
     key = ["g", "text_crc32", "size"]
@@ -85,7 +87,7 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     large = scratch.keep(large.select(*key, pieces.cast("long").alias("pieces")))
     # Bounded: see the module's text.
     rows = base.join(F.broadcast(large), key, "left")
-    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
+    piece = F.pmod(F.xxhash64("doc_id", "salt"), F.col("pieces"))
     item = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("g"), F.lit(shards * BUNDLES))).otherwise(F.xxhash64("g", piece))
     rows = rows.withColumn("item", item)
     items = rows.groupBy("item").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")).orderBy("item").toArrow()
