@@ -95,11 +95,11 @@ def bounded(fn: Callable, items: list, at_once: int = V.LLM_CONCURRENCY, seconds
 
 
 def complete(
-    prompts: DataFrame, clients: list[Callable[[str], tuple[str, int, int]]], names: list[str], strict: str = "\n\nReply with JSON only.", at_once: int = V.LLM_CONCURRENCY, seconds: float = 60, tries: int = 1, pause: float = 0.5
+    prompts: DataFrame, clients: list[Callable[[str], tuple[str, int, int]]], names: list[str], strict: str = "\n\nReply with JSON only.", at_once: int = V.LLM_CONCURRENCY, seconds: float = 60, tries: int = 1, pause: float = 0.5, wants_json: bool = True
 ) -> DataFrame:
     """Replies to prompts (prompt_id, prompt): response, model, input_tokens, output_tokens, attempts, error.
 
-    Clients are tried in turn until one doesn't fail; each is asked up to ``tries`` times, with ``at_once`` prompts of a task in flight. A
+    Clients are tried in turn until one doesn't fail; each is asked up to ``tries`` times, with ``at_once`` prompts of a task in flight. If ``wants_json``, a
     reply that isn't JSON is asked for once more, with ``strict`` added; tokens of all attempts are summed. If all
     clients fail the response is null and ``error`` says what the last one did.
     """
@@ -129,7 +129,7 @@ def complete(
         for df in parts:
             prompts = df["prompt"].fillna("").tolist()
             first = ask(prompts)
-            odd = [i for i, r in enumerate(first) if r[1] is not None and not is_json(r[1])]
+            odd = [i for i, r in enumerate(first) if wants_json and r[1] is not None and not is_json(r[1])]
             again = dict(zip(odd, ask([prompts[i] + strict for i in odd]), strict=True))
             rows = []
             for i, (pid, (name, text, n_in, n_out, error)) in enumerate(zip(df["prompt_id"], first, strict=True)):
@@ -144,6 +144,18 @@ def complete(
     return prompts.select("prompt_id", "prompt").mapInPandas(run, "prompt_id string, response string, model string, input_tokens long, output_tokens long, attempts int, error string")
 
 
+def describe_missing(rows: DataFrame, clients: list[Callable[[str], tuple[str, int, int]]], names: list[str], **limits) -> DataFrame:
+    """Rows of ``diff.described`` (key, hit, query_text, description) with a model's description where the cache had none: adds ``model``.
+
+    Each distinct text is asked for once; where all clients fail, or say nothing, the description stays what it was.
+    """
+    asked = rows.where(~F.col("hit")).dropDuplicates(["key"]).select(F.col("key").alias("prompt_id"), stage_prompt("describe", diff=F.col("query_text")).alias("prompt"))
+    said = complete(asked, clients, names, wants_json=False, **limits)
+    told = F.regexp_replace("response", r"^\s+|\s+$", "")
+    said = said.where(told != "").select(F.col("prompt_id").alias("key"), told.alias("_told"), "model")
+    return rows.join(said, "key", "left").withColumn("description", F.coalesce("_told", "description")).drop("_told")
+
+
 def _tree(source: str) -> ast.Module | tuple[str, int]:
     """The tree of Python source, or (what is wrong, row from 0). Source nested beyond the parser's own limits counts as wrong."""
     try:
@@ -262,6 +274,7 @@ PROMPTS = {
     "bug": "Find defects in {filename}.\n{context}\n{lint}\nDiff:\n{diff}\nReply with a JSON list of objects: line_start, line_end, severity, category, title, body, suggestion_code.",
     "xfile": "{description}\nCall sites:\n{diff}\nReply with a JSON object: has_breaking_changes, affected_call_sites (list of file, line, issue, suggestion).",
     "style": "Review the style of {filename}. {guidelines}\nDiff:\n{diff}\nReply with a JSON list as for defects, severity low or medium.",
+    "describe": "Say in one sentence what this change does.\n{diff}",
     "dedup": "Some of these findings may say the same.\n{findings}\nReply with a JSON list of the ids to keep.",
 }
 

@@ -774,6 +774,51 @@ def cached_descriptions(spark, sf):
     return diff.described(lines, cache, F.lit("2024-01-01").cast("timestamp")).select("diff_id", "hit", "description")
 
 
+def _describer(prompt: str) -> tuple[str, int, int]:
+    """Stands for a service that fails on long texts."""
+    if len(prompt) > 300:
+        raise OSError("too long")
+    return f" said {len(prompt)} ", 1, 1
+
+
+@query
+def told_descriptions(spark, sf):
+    """UDF-10: descriptions of changes from a cache, else from a model, else the head of the text."""
+    lines = diff.diff_lines(P.diffs(spark, sf))
+    key = C.short_hash(F.col("query_text"))
+    cache = diff.query_text(lines).where(key < "8").select(key.alias("key"), F.lit("known").alias("value"), F.lit("2100-01-01").cast("timestamp").alias("expires_at")).distinct()
+    rows = diff.described(lines, cache, F.lit("2024-01-01").cast("timestamp"))
+    return models.describe_missing(rows, [_describer], ["small"], pause=0).select("diff_id", "hit", "model", "description")
+
+
+@query
+def settings_rows(spark, sf):
+    """SRC-5: settings from YAML that is absent, whole, partly of the wrong type, or no YAML."""
+    i = F.col("doc_id")
+    whole = F.concat(F.lit("review:\n  ignore_patterns: ['a/*', b]\n  style: false\n  custom_guidelines: be kind "), i.cast("string"), F.lit("\n"))
+    texts = {1: F.lit("review:\n  enabled: false\n  severity_threshold: high\n"), 2: whole, 3: F.lit(": not yaml: ["), 4: F.lit("review:\n  enabled: 'yes'\n  severity_threshold: huge\n  ignore_patterns: [1]\n"), 5: F.lit("other: 1")}
+    text = F.lit(None).cast("string")
+    for n, t in texts.items():
+        text = F.when(i % 6 == n, t).otherwise(text)
+    rows = readers.config_rows(table(spark, sf, "documents").select(i.alias("repo_id"), text.alias("content")))
+    return rows.withColumn("ignore_patterns", F.array_join("ignore_patterns", ","))
+
+
+def _post(rows: list[dict]) -> None:
+    """Stands for a service that refuses a batch with a bad row in it."""
+    if any(r["doc_id"] % 97 == 5 for r in rows):
+        raise ValueError("bad row")
+
+
+@query
+def post_rejects(spark, sf):
+    """SNK-9, SNK-11: rows posted in batches, then one by one; those that are refused alone, in a table made for them."""
+    path = streams.folder_until_end(spark, "posts") + "/rejects"
+    sinks.ensure_table(spark, path, "row string, error string")
+    sinks.post_rows(table(spark, sf, "documents").select("doc_id"), _post, path, batch=20, pause=0)
+    return sinks.ensure_table(spark, path, "row string, error string")
+
+
 # --- beyond SQL --------------------------------------------------------------
 
 

@@ -295,3 +295,12 @@ SELECT CAST(doc_id AS VARCHAR) AS prompt_id, CASE WHEN two THEN NULL WHEN one TH
     "dispatched_jobs": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'slow' ELSE 'fast' END AS queue FROM events",
     "reviewed_files": f"WITH {DOCS} SELECT repo_id AS diff_id, file_path AS filename FROM d WHERE NOT regexp_matches(file_path, '{NO_REVIEW}') AND (repo_id = 'src2' OR repo_id <> 'src1' AND NOT file_path GLOB '*.[gG]O')",
 }
+
+SQL |= {
+    "told_descriptions": f"""WITH {DIFF}, g AS (SELECT diff_id, hunk_ord, string_agg(content, chr(10) ORDER BY i) AS t FROM n WHERE line_type = 'added' GROUP BY ALL), q AS (SELECT diff_id, substr(arg_min(t, hunk_ord), 1, 500) AS t FROM g GROUP BY diff_id),
+  r AS (SELECT diff_id, t, substr(sha256(t), 1, 16) < '8' AS hit, length(t) + 43 AS n FROM q)
+SELECT diff_id, hit, CASE WHEN NOT hit AND n <= 300 THEN 'small' END AS model, CASE WHEN hit THEN 'known' WHEN n <= 300 THEN 'said ' || n ELSE substr(t, 1, 200) END AS description FROM r""",
+    "settings_rows": """SELECT doc_id AS repo_id, doc_id % 6 <> 1 AS enabled, CASE WHEN doc_id % 6 = 2 THEN 'be kind ' || doc_id ELSE '' END AS custom_guidelines, CASE WHEN doc_id % 6 = 2 THEN 'a/*,b' ELSE '' END AS ignore_patterns,
+  CASE WHEN doc_id % 6 = 1 THEN 'high' ELSE 'low' END AS severity_threshold, doc_id % 6 <> 2 AS style_review FROM documents""",
+    "post_rejects": "SELECT '{''doc_id'': ' || doc_id || '}' AS row, 'ValueError: bad row' AS error FROM documents WHERE doc_id % 97 = 5",
+}
