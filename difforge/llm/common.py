@@ -7,6 +7,7 @@ Intermediate tables are Parquet files in the shared folder that the session name
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import time
 import uuid
@@ -141,6 +142,19 @@ def over_batches(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterabl
     return df.mapInArrow(fn, schema)
 
 
+def giving_back(fn: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    """``fn``, after which its Python worker, which waits for the next task, gives freed memory back to the system where that can be asked for."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words."""
     x = x.astype(np.uint64, copy=True)
