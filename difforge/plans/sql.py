@@ -304,3 +304,6 @@ SELECT diff_id, hit, CASE WHEN NOT hit AND n <= 300 THEN 'small' END AS model, C
   CASE WHEN doc_id % 6 = 1 THEN 'high' ELSE 'low' END AS severity_threshold, doc_id % 6 <> 2 AS style_review FROM documents""",
     "post_rejects": "SELECT '{''doc_id'': ' || doc_id || '}' AS row, 'ValueError: bad row' AS error FROM documents WHERE doc_id % 97 = 5",
 }
+
+#: Every event is an opened pull request of its user, a draft if it is an error.
+SQL["route_stream"] = """SELECT CAST(event_id AS VARCHAR) AS delivery_id, 'u' || user_id AS author, 'review' AS route, event_type <> 'error' AS should_process, CASE event_type WHEN 'error' THEN 'skip' ELSE 'fast_lane' END AS queue FROM events"""
