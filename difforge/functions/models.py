@@ -229,20 +229,34 @@ _NODE_FIELDS = ("node_type", "name", "start_row", "end_row")
 _SYNTAX = "nodes array<struct<node_type:string,name:string,start_row:int,end_row:int>>, imports array<string>, errors array<struct<what:string,row:int>>"
 
 
-def with_syntax(files: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """…keys, file_path, language and ``p`` (nodes, imports, errors) of files (file_path, content) whose language is read; one pass over each text."""
+def _read_syntax(source: Column, language: Column) -> Column:
+    """What ``file_syntax`` finds; nothing where the language is null."""
 
     @F.pandas_udf(_SYNTAX)
     def run(source: pd.Series, language: pd.Series) -> pd.DataFrame:
-        read = [file_syntax(*x) for x in zip(source, language, strict=True)]
+        read = [file_syntax(*x) if x[1] is not None else ([], [], []) for x in zip(source, language, strict=True)]
         return pd.DataFrame({
             "nodes": [[dict(zip(_NODE_FIELDS, n, strict=True)) for n in nodes] for nodes, _, _ in read],
             "imports": [lines for _, lines, _ in read],
             "errors": [[{"what": w, "row": r} for w, r in wrong] for _, _, wrong in read],
         })
 
+    # Called nondeterministic, else a filter on its result is pushed below it and reads each text a second time.
+    return run.asNondeterministic()(source, language)
+
+
+def with_syntax(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """…keys, file_path, language and ``p`` (nodes, imports, errors) of files (file_path, content) whose language is read; one pass over each text."""
     rows = files.select(*keys, "file_path", C.chunk_language(F.col("file_path")).alias("language"), "content").where(F.col("language").isin(*PARSED))
-    return rows.withColumn("p", run("content", "language")).drop("content")
+    return rows.withColumn("p", _read_syntax(F.col("content"), F.col("language"))).drop("content")
+
+
+def with_nodes(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """…keys, file_path, content and ``nodes``, an array of a file's functions and classes; null if it has errors or its language isn't read."""
+    language = C.chunk_language(F.col("file_path"))
+    rows = files.select(*keys, "file_path", "content", F.when(language.isin(*PARSED), language).alias("language"))
+    rows = rows.withColumn("p", _read_syntax(F.when(F.col("language").isNotNull(), F.col("content")), F.col("language")))
+    return rows.select(*keys, "file_path", "content", F.when(F.col("language").isNotNull() & (F.size("p.errors") == 0), F.col("p.nodes")).alias("nodes"))
 
 
 def syntax_nodes(files: DataFrame, keys: list[str] = ()) -> DataFrame:

@@ -20,9 +20,9 @@ WINDOW_TOKENS, TOKEN_OVERLAP = 512, 128
 PART_LINES, PART_OVERLAP, PART_LOOKBACK = 100, 5, 20
 
 
-def _finish(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
+def _finish(rows: DataFrame, keys: list[str], kind: str | Column) -> DataFrame:
     return rows.select(
-        *keys, "file_path", F.lit(kind).alias("chunk_type"), "name", "content", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"),
+        *keys, "file_path", (F.lit(kind) if isinstance(kind, str) else kind).alias("chunk_type"), "name", "content", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"),
         C.chunk_language(F.col("file_path")).alias("language"), C.chunk_id(F.col("file_path"), F.col("name"), F.col("start_line")).alias("chunk_id"), "ord",
     )
 
@@ -96,7 +96,24 @@ def part_bounds(blanks: Column, compat: bool = False) -> Column:
         return F.when(start < n, new).otherwise(acc)
 
     zero = F.struct(F.array().cast("array<struct<lo:int,hi:int>>").alias("parts"), F.lit(0).alias("next"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), zero, step)["parts"]
+    steps = F.floor(n / (PART_LINES - PART_LOOKBACK - PART_OVERLAP)) + PART_OVERLAP + 3  # the least that a part moves on, and the tail
+    return F.aggregate(F.sequence(F.lit(1), steps.cast("int")), zero, step)["parts"]
+
+
+def _cut(spans: DataFrame, keys: list[str], compat: bool = False) -> DataFrame:
+    """Chunks of spans (…keys, file_path, kind, name, s, e, ord; lines from 1) of lines ``ls``, in one pass; those of over PART_LINES lines in parts, as functions."""
+    body = F.slice("ls", F.col("s"), F.col("e") - F.col("s") + 1)
+    long = F.col("e") - F.col("s") + 1 > PART_LINES
+    rows = spans.withColumn("body", body).drop("ls").withColumn("long", long)
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.size("body").alias("hi")))
+    parts = F.when(F.col("long"), part_bounds(F.transform("body", lambda x: ~x.rlike(r"(?U)\S")), compat)).otherwise(whole)
+    rows = rows.select("*", F.posexplode(parts).alias("part", "b"))
+    rows = rows.select(
+        *keys, "file_path", F.when(F.col("long"), "function").otherwise(F.col("kind")).alias("kind"), F.when(F.col("long"), F.format_string("%s__part%d", "name", "part")).otherwise(F.col("name")).alias("name"),
+        F.array_join(F.slice("body", F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo")), "\n").alias("content"),
+        (F.col("s") + F.col("b.lo")).alias("start_line"), F.when(F.col("long"), F.col("s") + F.col("b.hi") - 1).otherwise(F.col("e")).alias("end_line"), "ord",
+    )
+    return _finish(rows, list(keys), F.col("kind"))
 
 
 def semantic_chunks(files: DataFrame, nodes: DataFrame, keys: list[str] = (), compat: bool = False) -> DataFrame:
@@ -105,19 +122,27 @@ def semantic_chunks(files: DataFrame, nodes: DataFrame, keys: list[str] = (), co
     Short nodes are one chunk; functions of over PART_LINES lines are cut at blank lines.
     """
     rows = with_lines(files, keys).join(nodes, [*keys, "file_path"])
-    name = F.coalesce("name", F.lit("<anonymous>"))
-    rows = rows.select(*keys, "file_path", name.alias("name"), F.col("node_type").contains("class").alias("is_class"), (F.col("start_row") + 1).alias("s"), (F.col("end_row") + 1).alias("e"), "node_ord", "ls")
-    rows = rows.withColumn("body", F.slice("ls", F.col("s"), F.col("e") - F.col("s") + 1)).drop("ls")
-    short = rows.where(F.col("e") - F.col("s") + 1 <= PART_LINES).select(*keys, "file_path", "name", F.array_join("body", "\n").alias("content"), F.col("s").alias("start_line"), F.col("e").alias("end_line"), (F.col("node_ord") + 1).alias("ord"), "is_class")
-    out = _finish(short.where("is_class"), list(keys), "class").unionByName(_finish(short.where("NOT is_class"), list(keys), "function"))
-    long = rows.where(F.col("e") - F.col("s") + 1 > PART_LINES)
-    blanks = F.transform("body", lambda x: ~x.rlike(r"(?U)\S"))
-    long = long.select("*", F.posexplode(part_bounds(blanks, compat)).alias("part", "b"))
-    long = long.select(
-        *keys, "file_path", F.format_string("%s__part%d", "name", "part").alias("name"), F.array_join(F.slice("body", F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo")), "\n").alias("content"),
-        (F.col("s") + F.col("b.lo")).alias("start_line"), (F.col("s") + F.col("b.hi") - 1).alias("end_line"), (F.col("node_ord") + 1).alias("ord"),
-    )
-    return out.unionByName(_finish(long, list(keys), "function"))
+    kind = F.when(F.col("node_type").contains("class"), "class").otherwise("function").alias("kind")
+    some = rows.where(f"start_row IS NOT NULL AND end_row IS NOT NULL AND (node_type IS NOT NULL OR end_row - start_row >= {PART_LINES})")
+    some = some.select(*keys, "file_path", kind, F.coalesce("name", F.lit("<anonymous>")).alias("name"), (F.col("start_row") + 1).alias("s"), (F.col("end_row") + 1).alias("e"), (F.col("node_ord") + 1).alias("ord"), "ls")
+    return _cut(some, list(keys), compat)
+
+
+def chunks_with_nodes(files: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """As ``all_chunks``, of files that carry their nodes as an array (``nodes``: node_type, name, start_row, end_row; null where a file wasn't parsed).
+
+    All chunks of a file come from one reading of its row, and no text is shuffled.
+    """
+    rows = files.where(F.col("content").rlike(r"(?U)\S")).select(*keys, "file_path", C.split_lines(F.col("content")).alias("ls"), "nodes").where(F.size("ls") > 0)
+    n = F.size("ls")
+    span = lambda kind, name, s, e, at: F.struct(kind.alias("kind"), name.alias("name"), s.cast("int").alias("s"), e.cast("int").alias("e"), at.cast("int").alias("ord"))
+    header = F.array(span(F.lit("file_header"), F.lit("<file_header>"), F.lit(1), F.least(F.lit(HEADER_LINES), n), F.lit(0)))
+    starts = F.sequence(F.lit(0), n - 1, F.lit(WINDOW_LINES - WINDOW_OVERLAP))
+    windows = F.transform(starts, lambda pos, i: span(F.lit("window"), F.format_string("<window_%d>", i), pos + 1, F.least(pos + WINDOW_LINES, n), i + 1))
+    kind = lambda x: F.when(x["node_type"].contains("class"), "class").otherwise("function")
+    own = F.transform("nodes", lambda x, i: span(kind(x), F.coalesce(x["name"], F.lit("<anonymous>")), x["start_row"] + 1, x["end_row"] + 1, i + 1))
+    spans = rows.select(*keys, "file_path", "ls", F.inline(F.concat(header, F.when(F.col("nodes").isNull(), windows).otherwise(own))))
+    return first_by(_cut(spans, list(keys)), [*keys, "chunk_id"], "ord", "start_line", "name")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

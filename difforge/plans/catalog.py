@@ -894,8 +894,7 @@ def syntax_marks(spark, sf):
 def syntax_chunks(spark, sf):
     """PRJ-26, PRJ-24: chunks of these sources; files that parse by function and class, the others by windows of lines."""
     files = P.sources(spark, sf, broken=F.col("doc_id") % 4 == 0)
-    nodes = models.syntax_nodes(files)
-    return chunking.all_chunks(files, nodes.where("node_ord IS NOT NULL"), nodes).select("file_path", "chunk_type", "name", "start_line", "end_line")
+    return chunking.chunks_with_nodes(models.with_nodes(files)).select("file_path", "chunk_type", "name", "start_line", "end_line")
 
 
 @query
