@@ -23,18 +23,25 @@ class _Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", "value string, until long")
+        self.timer = handle.getValueState("timer", "ms long")
         self.waiting = handle.getListState("waiting", "op_id long, micros long, kind string, value string, seconds long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for df in rows:
             micros = df["micros"].astype("int64")
             self.waiting.appendList(list(zip(df["op_id"].astype("int64"), micros, df["kind"], df["value"], df["seconds"].astype("int64"), strict=True)))
-            for ms in (micros // 1000 + 1).unique():
-                self.handle.registerTimer(int(ms))
+            self._wake(int(micros.min()) // 1000 + 1)
         return iter(())
 
+    def _wake(self, ms: int) -> None:
+        """Have a timer at ``ms`` unless an earlier one is set: one for each stretch of waiting operations, not one for each operation."""
+        if not self.timer.exists() or ms < self.timer.get()[0]:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All that waits up to the watermark takes effect at the first of its timers; the others find nothing left to do."""
+        """All that waits up to the watermark takes effect at once; the next timer is that of the first operation, or of the value's end, after it."""
+        self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = list(self.waiting.get()) if self.waiting.exists() else []
         due = sorted((x for x in held if x[1] < passed), key=lambda x: (x[1], x[0]))
@@ -43,16 +50,18 @@ class _Cache(StatefulProcessor):
         for op_id, micros, kind, new, seconds in due:
             if kind == "put":
                 value, until = new, micros + seconds * 1_000_000
-                self.handle.registerTimer(until // 1000 + 1)
             else:
                 answers.append((op_id, key[0], value if until > micros else None))
+        rest = [tuple(x) for x in held if x[1] >= passed]
         if due:
-            rest = [tuple(x) for x in held if x[1] >= passed]
             self.waiting.put(rest) if rest else self.waiting.clear()
         if until < passed:
             self.now.clear()
         elif due:
             self.now.update((value, until))
+        ahead = [x[1] for x in rest] + ([until] if until >= passed else [])
+        if ahead:
+            self._wake(min(ahead) // 1000 + 1)
         if answers:
             yield pd.DataFrame(answers, columns=["op_id", "key", "value"])
 
