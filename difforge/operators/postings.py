@@ -39,6 +39,10 @@ class Index:
     def add(self, chunks: DataFrame) -> None:
         """Chunks (repo_id, chunk_id, file_path, start_line, content) of files; what the index held of these files goes."""
         rows = self._rows(chunks)
+        snapshot = self.entries.snapshot()
+        if not snapshot["base"] and not snapshot["deltas"]:  # nothing is stored, so nothing has to go
+            self.entries._change(rows.withColumn("_gone", F.lit(False)), None)
+            return
         files = chunks.select(F.col("repo_id").cast("string").alias("repo_id"), "file_path").distinct()
         old = self.entries.read().join(files, ["repo_id", "file_path"], "left_semi")
         self._replace(rows, old)
