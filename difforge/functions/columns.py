@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,13 +96,22 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for a row, however often ``use`` names it and wherever the optimiser moves the whole."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def model_json(text: Column) -> Column:
     """A model's reply without its code fence, if it is a JSON object or array; null otherwise."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    inner = F.regexp_extract(bare, r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$", 1)
-    clean = F.regexp_replace(F.when(bare.startswith("```") & (inner != ""), inner).otherwise(bare), r"^\s+|\s+$", "")
-    kind = F.schema_of_variant(F.try_parse_json(clean))
-    return F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), clean)
+
+    def clean(bare: Column) -> Column:
+        inner = F.regexp_extract(bare, r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$", 1)
+        return once(inner, lambda i: F.regexp_replace(F.when(bare.startswith("```") & (i != ""), i).otherwise(bare), r"^\s+|\s+$", ""))
+
+    def checked(json: Column) -> Column:
+        return once(F.schema_of_variant(F.try_parse_json(json)), lambda kind: F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), json))
+
+    return once(once(F.regexp_replace(text, r"^\s+|\s+$", ""), clean), checked)
 
 
 def call_cost(model: Column, tokens_in: Column, tokens_out: Column, prices: dict | None = None) -> Column:
